@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import topk
+from . import packing, tokens, topk
 
 QUERIES = {
+    "op4_length_histogram": tokens.query,
+    "op5_best_fit_packing": packing.query,
     "op8_exact_top_k": topk.query,
 }
 ORACLE = {
