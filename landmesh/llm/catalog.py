@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import packing, tokens, topk
+from . import packing, substrings, tokens, topk
 
 QUERIES = {
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
     "op8_exact_top_k": topk.query,
+    "op9_substring_dedup": substrings.query,
 }
 ORACLE = {
     "op8_exact_top_k": topk.SQL,
+    "op9_substring_dedup": substrings.SQL,
 }
