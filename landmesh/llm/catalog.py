@@ -1,14 +1,16 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import packing, substrings, tokens, topk
+from . import mixing, packing, substrings, tokens, topk
 
 QUERIES = {
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
+    "op7_systematic_mixing": mixing.query,
     "op8_exact_top_k": topk.query,
     "op9_substring_dedup": substrings.query,
 }
 ORACLE = {
+    "op7_systematic_mixing": mixing.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_substring_dedup": substrings.SQL,
 }
