@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import mixing, packing, substrings, tokens, topk
+from . import mixing, outliers, packing, substrings, tokens, topk
 
 QUERIES = {
+    "op3_robust_outliers": outliers.query,
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
     "op7_systematic_mixing": mixing.query,
