@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import mixing, outliers, packing, substrings, tokens, topk
+from . import jaccard, mixing, outliers, packing, substrings, tokens, topk
 
 QUERIES = {
     "op3_robust_outliers": outliers.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_systematic_mixing": mixing.query,
     "op8_exact_top_k": topk.query,
     "op9_substring_dedup": substrings.query,
+    "op10_ngram_jaccard": jaccard.query,
 }
 ORACLE = {
     "op7_systematic_mixing": mixing.SQL,
