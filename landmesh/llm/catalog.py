@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import jaccard, mixing, outliers, packing, substrings, tokens, topk
+from . import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk
 
 QUERIES = {
     "op3_robust_outliers": outliers.query,
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
+    "op6_cotraining_quality": cotraining.query,
     "op7_systematic_mixing": mixing.query,
     "op8_exact_top_k": topk.query,
     "op9_substring_dedup": substrings.query,
