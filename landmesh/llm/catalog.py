@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk
+from . import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk, warc
 
 QUERIES = {
+    "op1_warc_salvage": warc.query,
     "op3_robust_outliers": outliers.query,
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.query,
 }
 ORACLE = {
+    "op1_warc_salvage": warc.SQL,
     "op7_systematic_mixing": mixing.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_substring_dedup": substrings.SQL,
