@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL oracles."""
 
-from . import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk, warc
+from . import cotraining, jaccard, mixing, outliers, packing, sharding, substrings, tokens, topk, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
+    "op2_size_tiered_compaction": sharding.query,
     "op3_robust_outliers": outliers.query,
     "op4_length_histogram": tokens.query,
     "op5_best_fit_packing": packing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_warc_salvage": warc.SQL,
+    "op2_size_tiered_compaction": sharding.SQL,
     "op7_systematic_mixing": mixing.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_substring_dedup": substrings.SQL,

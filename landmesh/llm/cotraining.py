@@ -64,9 +64,9 @@ def meta_view(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _views(docs: DataFrame) -> DataFrame:
+def _views(docs: DataFrame, *more: str) -> DataFrame:
     cell = lambda c, n: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(n - 1)) + 1).cast("int")
-    return docs.select("doc_id", F.col("text"), cell("lang", LANG_CELLS).alias("lang_cell"), cell("source", SOURCE_CELLS).alias("source_cell"), F.col("n_chars").cast("bigint").alias("n_chars"))
+    return docs.select("doc_id", F.col("text"), cell("lang", LANG_CELLS).alias("lang_cell"), cell("source", SOURCE_CELLS).alias("source_cell"), F.col("n_chars").cast("bigint").alias("n_chars"), *more)
 
 
 def _sigmoid(z):
@@ -218,5 +218,23 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -
     return _views(docs).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double, kept boolean")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``classify`` keeps."""
+    model = train(docs, labels, **bounds)
+    if model is None:
+        return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    views = _views(docs.select("doc_id", "text", "lang", "source", "n_chars", row.alias("row")), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                score = np.round(model.scores(text_view(part["text"]), meta_view(part))[2], 9)
+                yield part.select(["row"]).filter(pa.array(score >= least))
+
+    return views.mapInArrow(run, f"row {dict(views.dtypes)['row']}").select("row.*")
+
+
 def query(spark, sf_dir):
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -318,5 +318,17 @@ def join(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("prefix") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each component.
+
+    Of rows that share an id one stays. Rows of null ids and of empty texts stay.
+    """
+    gone = join(docs, **how).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__lm_gone")).distinct()
+    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__lm_gone"), "left_anti")
+    once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    left = left.withColumn("__lm_no", F.row_number().over(once)).where(F.col("__lm_no") == 1).drop("__lm_no")
+    return left.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def query(spark, sf_dir):
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
