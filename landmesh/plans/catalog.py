@@ -1,8 +1,8 @@
-"""The query catalogue: one entry per operator, each with its SQL oracle."""
+"""The query catalogue: importing it registers every operator's query and oracle."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import geo  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return QUERIES["P-07_block_id"](spark, sf_dir)
