@@ -1,8 +1,8 @@
 """The query catalogue: importing it registers every operator's query and oracle."""
 
-from . import geo  # noqa: F401
+from . import geo, surfaces  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["P-07_block_id"](spark, sf_dir)
+    return QUERIES["A-01_resistance_statistics"](spark, sf_dir)
