@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every operator's query and oracle."""
 
-from . import geo, surfaces  # noqa: F401
+from . import geo, surfaces, tiles  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 
