@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every operator's query and oracle."""
 
-from . import analytics, geo, surfaces, tiles  # noqa: F401
+from . import analytics, geo, network, surfaces, tiles  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 
