@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import buffers, word_hashes
 
@@ -233,7 +234,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds)
                 score = np.round(model.scores(text_view(part["text"]), meta_view(part))[2], 9)
                 yield part.select(["row"]).filter(pa.array(score >= least))
 
-    return views.mapInArrow(run, f"row {dict(views.dtypes)['row']}").select("row.*")
+    return views.mapInArrow(run, T.StructType([views.schema["row"]])).select("row.*")
 
 
 def query(spark, sf_dir):

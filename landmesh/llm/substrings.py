@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
 from .words import buffers, window_hashes, word_hashes
@@ -125,8 +126,8 @@ def drop_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     part = X.dealt(docs, chunks, id_col, text)
     sent = part.groupBy(X.CHUNK).applyInArrow(_send(size, buckets), "bucket int, chunk int, n int, hashes binary, n_ids int, low bigint, ids binary, ranks binary")
     marks = sent.groupBy("bucket").applyInArrow(_later(buckets), f"{X.CHUNK} int, bucket int, n int, bits binary")
-    kinds = dict(part.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, text string, {X.REST} {kinds[X.REST]}, __lm_words bigint, __lm_removed bigint"
+    counts = [T.StructField(c, T.LongType()) for c in ("__lm_words", "__lm_removed")]
+    schema = T.StructType([T.StructField("doc_id", part.schema["doc_id"].dataType), T.StructField("text", T.StringType()), part.schema[X.REST], *counts])
     cut = part.groupBy(X.CHUNK).cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_cut(size, buckets), schema)
     new = {"n_words": F.col("__lm_words"), "n_removed": F.col("__lm_removed"), id_col: F.col("doc_id"), text: F.col("text")}
     names = [*docs.columns, *(c for c in ("n_words", "n_removed") if c not in docs.columns)]
