@@ -20,4 +20,5 @@ ORACLE = {
     "op7_systematic_mixing": mixing.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_substring_dedup": substrings.SQL,
+    "op10_ngram_jaccard": jaccard.SQL,
 }

@@ -332,3 +332,24 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark, sf_dir):
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN [md5(array_to_string(w[i:i + 4], ' ')) FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END)) AS g FROM t
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS v, doc_id AS c FROM t UNION SELECT r.v, e.b FROM r JOIN e ON r.c = e.a
+)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) c ON c.v = t.doc_id
+"""
