@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, and distinct windows in a bucket, about.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_WINDOWS = 2_000_000
 CHUNK, REST = "__lm_chunk", "__lm_rest"
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from . import exchange as X
 from .components import components
 from .store import materialize
-from .words import buffers, mix, window_hashes, word_hashes
+from .words import buffers, gives_back, mix, window_hashes, word_hashes
 
 #: Token groups: the coordinates of a point.
 GROUPS = 64
@@ -42,6 +42,7 @@ class _Sets:
 
 
 def _send(size: int, buckets: int):
+    @gives_back
     def run(key, table):
         s = _Sets(table, size)
         bounds, out = X.cells(s.unique, buckets), []
@@ -55,6 +56,7 @@ def _send(size: int, buckets: int):
     return run
 
 
+@gives_back
 def _frequency(key, table):
     """For each chunk of a bucket: the class of each of its shingles' document frequencies (0: once; else 1 + log2)."""
     rows = table.to_pylist()
@@ -77,6 +79,7 @@ def _frequency(key, table):
 
 
 def _describe(size: int, buckets: int, num: int, den: int):
+    @gives_back
     def run(docs, marks):
         s = _Sets(docs, size)
         bounds = X.cells(s.unique, buckets)
@@ -177,6 +180,7 @@ class _Forest:
 def _seeded(num: int, den: int):
     """Verified links inside each seed group; those that close a circle are left out."""
 
+    @gives_back
     def run(key, table):
         ids, n = table["doc_id"].to_numpy(), table["n"].to_numpy()
         seed, part = table["seed"].to_numpy(), table["part"].to_numpy()
@@ -204,6 +208,7 @@ def _seeded(num: int, den: int):
 def _met(num: int, den: int):
     """Pairs of different components that share a token of both prefixes and pass the bounds of points and of 16-bit groups."""
 
+    @gives_back
     def run(key, table):
         ids, n, comp = (table[c].to_numpy() for c in ("doc_id", "n", "comp"))
         fine = [np.frombuffer(x.as_py(), "<u4") for x in table["fine"]]

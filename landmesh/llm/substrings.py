@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .words import buffers, window_hashes, word_hashes
+from .words import buffers, gives_back, window_hashes, word_hashes
 
 _NONE = np.iinfo(np.int64).max
 
@@ -29,6 +29,7 @@ class _Windows:
 
 
 def _send(size: int, buckets: int):
+    @gives_back
     def run(key, table):
         w = _Windows(table, size)
         doc = np.repeat(np.arange(len(w.ids)), w.n)[w.first]
@@ -49,6 +50,7 @@ def _send(size: int, buckets: int):
 def _later(buckets: int):
     """For each chunk of a bucket: which of its hashes occur in a document of smaller id in another chunk."""
 
+    @gives_back
     def run(key, table):
         rows = table.to_pylist()
         sizes = [r["n"] for r in rows]
@@ -81,6 +83,7 @@ def bits_of(data: bytes, n: int) -> np.ndarray:
 
 
 def _cut(size: int, buckets: int):
+    @gives_back
     def run(docs, marks):
         w = _Windows(docs, size)
         bounds = X.cells(w.unique, buckets)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a cut falls on white space or between texts.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -128,6 +129,20 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, size: int, whole: bool
     return mix(rolled ^ mix((stops - starts).astype(np.uint64))), starts, n
 
 
-def slices(n: int, size: int) -> Iterator[slice]:
-    for lo in range(0, n, size):
-        yield slice(lo, min(lo + size, n))
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def gives_back(f):
+    """``f`` of two arguments, a group's key and rows or two tables, that gives back its memory at its end."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return run
