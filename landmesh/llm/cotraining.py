@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import buffers, word_hashes
+from .words import buffers, give_back, word_hashes
 
-WORD_CELLS, LANG_CELLS, SOURCE_CELLS = 512, 16, 64
+WORD_CELLS, LANG_CELLS, SOURCE_CELLS = 256, 16, 64
 N_TEXT = 256 + WORD_CELLS + 3
 N_META = LANG_CELLS + SOURCE_CELLS + 3
 
@@ -24,13 +24,13 @@ def text_view(column: pa.Array) -> np.ndarray:
     out = np.zeros((len(ends) - 1, N_TEXT), np.float32)
     lo = 0
     while lo < len(out):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (2 << 20), "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (512 << 10), "right")) - 1)
         hi = min(hi, len(out))
         part, e = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
         n = hi - lo
         size = np.diff(e)
-        for a in range(0, len(part), 8 << 20):
-            piece = part[a : a + (8 << 20)]
+        for a in range(0, len(part), 1 << 20):
+            piece = part[a : a + (1 << 20)]
             doc = np.searchsorted(e, np.arange(a, a + len(piece)), "right") - 1 if n > 1 else np.zeros(len(piece), np.int64)
             out[lo:hi, :256] += np.bincount(doc * 256 + piece, minlength=n * 256).reshape(n, 256)
         out[lo:hi, :256] = np.sqrt(out[lo:hi, :256] / np.maximum(size, 1)[:, None])
@@ -48,6 +48,7 @@ def text_view(column: pa.Array) -> np.ndarray:
         out[lo:hi, -2] = np.log(np.maximum(distinct, 1) / many)
         out[lo:hi, -1] = np.log1p(size / many)
         lo = hi
+    give_back()
     return out
 
 
@@ -91,13 +92,15 @@ class Model:
 def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
     """Weights and intercept of ridge logistic regression; the intercept is free."""
     x = np.c_[x, np.ones(len(x))]
+    xs = np.empty_like(x)
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = _sigmoid(x @ w)
         s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x.T * s) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        np.multiply(x, s[:, None], out=xs)
+        step = np.linalg.solve(xs.T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -175,7 +178,7 @@ def _sample(docs: DataFrame, picked: DataFrame) -> pa.Table:
     return table.sort_by([("doc_id", "ascending")])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, most_pool: int = 4096) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, most_pool: int = 2048) -> Classifier | None:
     """Fit on at most ``most_labelled`` labelled and ``most_pool`` other documents.
 
     Both are those of the smallest hash of their ids, so the sample's size is a
@@ -189,11 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, most_po
     table = _sample(docs, labelled.unionByName(pool))
     if not len(table):
         return None
-    good = table["good"].to_numpy()
-    shape = lambda c, n: np.asarray(table[c].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, n)
-    t, m = shape("t", N_TEXT), shape("m", N_META)
+    good = np.array(table["good"].to_numpy())
     has = good >= 0
-    return cotrain((t[has], m[has]), good[has].astype(float), (t[~has], m[~has]))
+    shape = lambda c, n: table[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
+    views = tuple(shape(c, n)[has] for c, n in (("t", N_TEXT), ("m", N_META)))
+    pool = tuple(shape(c, n)[~has] for c, n in (("t", N_TEXT), ("m", N_META)))
+    del table
+    try:
+        return cotrain(views, good[has].astype(float), pool)
+    finally:
+        del views, pool
+        give_back()
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
@@ -211,8 +220,8 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
                 t, m, s = (np.round(x, 9) for x in model.scores(text_view(part["text"]), meta_view(part)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(t), pa.array(m), pa.array(s), pa.array(s >= least)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
@@ -229,8 +238,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
                 score = np.round(model.scores(text_view(part["text"]), meta_view(part))[2], 9)
                 yield part.select(["row"]).filter(pa.array(score >= least))
 
