@@ -16,6 +16,8 @@ CHI_975, FACTOR_975 = 12.83250, 1.08059
 #: Standard deviations that measure nothing are not taken to be smaller than these.
 FLOORS = (0.25, 0.05, 0.02, 0.1, 0.1)
 P = len(FLOORS)
+#: Parts that a group's rows are dealt to in joins.
+SALTS = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -95,12 +97,20 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Join each row with its group's parameters; null is a group of its own."""
+    """Join each row with its group's parameters; null is a group of its own.
+
+    Rows of documents are dealt by group and a hash of their id against ``SALTS`` copies
+    of the few parameters, so a group of any size spreads over as many tasks.
+    """
     params = params.withColumnsRenamed({g: f"_{g}" for g in GROUP})
     same = F.lit(True)
     for g in GROUP:
         same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return rows.join(params, same, "left").drop(*[f"_{g}" for g in GROUP])
+    if "doc_id" in rows.columns:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        params = params.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.col("_salt") == F.col("_copy")
+    return rows.join(params, same, "left").drop("_salt", "_copy", *[f"_{g}" for g in GROUP])
 
 
 def _centres(rows: DataFrame, width: float = 0.01) -> DataFrame:
@@ -115,7 +125,7 @@ def _centres(rows: DataFrame, width: float = 0.01) -> DataFrame:
         return got.groupBy(*GROUP).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"{name}{i}") for i in range(P)])
 
     def long(df: DataFrame, expr) -> DataFrame:
-        return df.select(*GROUP, F.posexplode(F.array(*[expr(i) for i in range(P)])).alias("j", "v"))
+        return df.select("doc_id", *GROUP, F.posexplode(F.array(*[expr(i) for i in range(P)])).alias("j", "v"))
 
     med = materialize(medians(long(rows, lambda i: F.col(f"x{i}")), "m"), "medians")
     dev = medians(long(_with(rows, med), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), "s")
@@ -187,12 +197,12 @@ def reject_outliers(docs: DataFrame, limit: float = 60.0, share: float = 0.75, s
     """
     stats = materialize(transformed(base_statistics(docs)), "statistics")
     xs = [f"x{i}" for i in range(P)]
-    rows = stats.where(~F.col("base_failed")).select(*GROUP, *xs)
+    rows = stats.where(~F.col("base_failed")).select("doc_id", *GROUP, *xs)
     params = _start(_centres(rows))
     for k in range(steps):
-        near = _nearest(_with(rows, params).withColumn("d2", _distance()), share).select(*GROUP, *xs)
+        near = _nearest(_with(rows, params).withColumn("d2", _distance()), share).select("doc_id", *GROUP, *xs)
         params = _estimate(near, f"step{k}")
-    core = _with(rows, params).where(_distance(FACTOR_75) <= CHI_975).select(*GROUP, *xs)
+    core = _with(rows, params).where(_distance(FACTOR_75) <= CHI_975).select("doc_id", *GROUP, *xs)
     params = _estimate(core, "reweighted")
     params = _with(params, rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows")))
     judged = _with(stats, params)
