@@ -125,7 +125,7 @@ def patch_labels(spark, d):
 
 @query("G-07_distance_transform", f"WITH {X.GRIDS}, f AS (SELECT sid, r, c FROM grids WHERE v > 0.15 AND sid < 100), m AS (SELECT g.sid, g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM grids g JOIN f USING (sid) GROUP BY ALL) SELECT g.sid, g.r, g.c, round(coalesce(sqrt(d2), 80.0), 6) AS distance FROM grids g LEFT JOIN m ON g.sid = m.sid AND g.r = m.r AND g.c = m.c WHERE g.sid < 100")
 def distance_transform(spark, d):
-    g = X.grids(spark, d).where("sid < 100").select("sid", "r", "c", "v")
+    g = X.grids(spark, d).select("sid", "r", "c", "v")
     hits = g.where("v > 0.15").withColumn("one", F.lit(1))
     return C.nearest_feature(g.select("sid", "r", "c"), hits, "one", 1.0, 8).select("sid", "r", "c", F.round("distance", 6).alias("distance"))
 
@@ -154,9 +154,9 @@ def regions(spark, d):
 
 def source_configs(spark, d):
     """All configurations of the small rasters as records: points, strips both ways, advanced, omniscape."""
-    g = small(spark, d).where("sid < 20")
+    g = small(spark, d)
     strip = lambda c, n: g.where(f"{c} < 1 OR {c} >= 7").groupBy("sid").agg(F.lit(n).alias("config"), F.lit("wall_to_wall").alias("kind"), F.count(F.lit(1)).alias("n_pixels"))
-    points = focal_cells(spark, d, 20).where("focal > 0").groupBy("sid").agg(F.lit("points").alias("config"), F.lit("points").alias("kind"), F.count(F.lit(1)).alias("n_pixels"))
+    points = focal_cells(spark, d).where("focal > 0").groupBy("sid").agg(F.lit("points").alias("config"), F.lit("points").alias("kind"), F.count(F.lit(1)).alias("n_pixels"))
     edge = g.groupBy("sid").agg(F.percentile("res", F.lit(0.25)).alias("q"))
     strong = g.join(edge, "sid").where("res <= q")
     adv = strong.where("r > 0").groupBy("sid").agg(F.lit("advanced").alias("config"), F.lit("advanced").alias("kind"), F.count(F.lit(1)).alias("n_pixels"))

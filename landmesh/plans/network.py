@@ -21,7 +21,7 @@ FLOW = "flow AS (SELECT w.sid, w.r, w.c, g * (a.v - b.v) AS i FROM ways w JOIN r
 
 
 def small(spark, d):
-    return X.grids(spark, d).where("sid < 200").withColumn("res", 1.0 + 9.0 * F.abs("v"))
+    return X.grids(spark, d).withColumn("res", 1.0 + 9.0 * F.abs("v"))
 
 
 def r6(*names):
@@ -81,7 +81,7 @@ comp AS (SELECT low.sid, n // 1000000 AS r, n % 1000000 AS c, CAST(label AS INTE
 
 
 def labelled(spark, d):
-    return G.component_labels(X.grids(spark, d).where("sid < 60 AND v > -0.02").select("sid", "r", "c"))
+    return G.component_labels(X.grids(spark, d).where("v > -0.02").select("sid", "r", "c"))
 
 
 @query("G-03_components", f"WITH RECURSIVE {_COMP} SELECT sid, r, c, label, size FROM comp")

@@ -13,10 +13,10 @@ from .network import small
 from .registry import query
 
 
-def focal_cells(spark, d, n: int = 40):
+def focal_cells(spark, d):
     """Small rasters, all valid, with focal points in three corners."""
     focal = F.when((F.col("r") == 0) & (F.col("c") == 0), 1).when((F.col("r") == 7) & (F.col("c") == 7), 2).when((F.col("r") == 0) & (F.col("c") == 7), 3).otherwise(0)
-    return small(spark, d).where(F.col("sid") < n).select("sid", "r", "c", F.col("res").alias("resistance"), F.lit(True).alias("valid"), focal.alias("focal"))
+    return small(spark, d).select("sid", "r", "c", F.col("res").alias("resistance"), F.lit(True).alias("valid"), focal.alias("focal"))
 
 
 @query("G-10_pairwise_solve")
@@ -42,7 +42,7 @@ def advanced(spark, d):
 
 @query("G-12_moving_window")
 def moving_window(spark, d):
-    cells = focal_cells(spark, d, 8).withColumn("source", 1.0 / F.col("resistance"))
+    cells = focal_cells(spark, d).withColumn("source", 1.0 / F.col("resistance"))
     return S.moving_window(cells, 3).select("sid", "r", "c", *[F.round(x, 6).alias(x) for x in ("cum_current", "flow_potential", "normalized")])
 
 
@@ -106,7 +106,7 @@ def point_in_polygon(spark, d):
 @query("G-08_line_rasterisation")
 def lines(spark, d):
     """Cells touched by lines between consecutive tiles' places, later lines over earlier ones."""
-    t = X.tiles(spark, d).where("c_custkey < 60").select("c_custkey", (F.col("lon") + 180).alias("x"), (F.col("lat") + 55).alias("y"))
+    t = X.tiles(spark, d).select("c_custkey", (F.col("lon") + 180).alias("x"), (F.col("lat") + 55).alias("y"))
     w = Window.partitionBy(F.floor(F.col("c_custkey") / 10)).orderBy("c_custkey")
     s = t.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where("x1 IS NOT NULL")
     size = 10.0
