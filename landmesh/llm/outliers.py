@@ -9,6 +9,8 @@ from .store import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 GROUP = ("lang", "source")
+#: What parameters are estimated for: a group (level 0), a language (1), all rows (2).
+KEY = ("level", *GROUP)
 #: Chi-square quantiles for five dimensions and the matching consistency factors of
 #: truncated covariances (fixed values): share 0.75, share 0.975, and the rejection limit.
 CHI_75, FACTOR_75 = 6.62568, 1.41246
@@ -96,36 +98,51 @@ def transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{i}": F.round(x, 9) for i, x in enumerate(xs)})
 
 
-def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Join each row with its group's parameters; null is a group of its own.
+def _with(rows: DataFrame, params: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Join each row with the parameters of its ``key``; null is a group of its own.
 
     Rows of documents are dealt by group and a hash of their id against ``SALTS`` copies
     of the few parameters, so a group of any size spreads over as many tasks.
     """
-    params = params.withColumnsRenamed({g: f"_{g}" for g in GROUP})
+    params = params.withColumnsRenamed({g: f"_{g}" for g in key})
     same = F.lit(True)
-    for g in GROUP:
+    for g in key:
         same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
     if "doc_id" in rows.columns:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         params = params.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         same &= F.col("_salt") == F.col("_copy")
-    return rows.join(params, same, "left").drop("_salt", "_copy", *[f"_{g}" for g in GROUP])
+    return rows.join(params, same, "left").drop("_salt", "_copy", *[f"_{g}" for g in key])
+
+
+def _levels(rows: DataFrame, least_rows: int) -> DataFrame:
+    """The finest level at which each group has ``least_rows`` rows, else the last; and the pooled levels that its rows count in."""
+    w = lambda *by: Window.partitionBy(*by)
+    g = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("of_lang", F.sum("n").over(w("lang")))
+    g = g.withColumn("_level", F.when(F.col("n") >= least_rows, 0).when(F.col("of_lang") >= least_rows, 1).otherwise(2))
+    used = [F.when(F.col("_level") == 0, 0), F.when(F.max(F.col("_level") == 1).over(w("lang")), 1), F.when(F.max(F.col("_level") == 2).over(w(F.lit(0))), 2)]
+    return materialize(g.select(*GROUP, "_level", F.array_compact(F.array(*used)).alias("_used")), "levels")
+
+
+def _at(level: Column) -> list[Column]:
+    """The key of a row at ``level``."""
+    return [level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level < 1, F.col("source")).alias("source")]
 
 
 def _centres(rows: DataFrame, width: float = 0.01) -> DataFrame:
     """Medians and median absolute deviations per group and coordinate, from counts of cells of ``width``."""
 
     def medians(values: DataFrame, name: str) -> DataFrame:
-        cells = values.groupBy(*GROUP, "j", F.floor(F.col("v") / width).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy(*GROUP, "j")
+        cells = values.groupBy(*KEY, "j", F.floor(F.col("v") / width).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy(*KEY, "j")
         up = w.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.withColumn("u", F.sum("n").over(up)).withColumn("all", F.sum("n").over(w))
-        got = cells.where(2 * F.col("u") >= F.col("all")).groupBy(*GROUP, "j").agg(((F.min("c") + 0.5) * width).alias("v"))
-        return got.groupBy(*GROUP).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"{name}{i}") for i in range(P)])
+        got = cells.where(2 * F.col("u") >= F.col("all")).groupBy(*KEY, "j").agg(((F.min("c") + 0.5) * width).alias("v"))
+        return got.groupBy(*KEY).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"{name}{i}") for i in range(P)])
 
     def long(df: DataFrame, expr) -> DataFrame:
-        return df.select("doc_id", *GROUP, F.posexplode(F.array(*[expr(i) for i in range(P)])).alias("j", "v"))
+        return df.select("doc_id", *KEY, F.posexplode(F.array(*[expr(i) for i in range(P)])).alias("j", "v"))
 
     med = materialize(medians(long(rows, lambda i: F.col(f"x{i}")), "m"), "medians")
     dev = medians(long(_with(rows, med), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), "s")
@@ -136,7 +153,7 @@ def _start(params: DataFrame) -> DataFrame:
     """Diagonal scatter from medians and deviations, in the form that ``_distance`` takes."""
     scale = {f"l{i}_{i}": F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) + FLOORS[i] ** 2) for i in range(P)}
     zero = {f"l{i}_{k}": F.lit(0.0) for i in range(P) for k in range(i)}
-    return params.select(*GROUP, *[f"m{i}" for i in range(P)], *[c.alias(k) for k, c in (scale | zero).items()])
+    return params.select(*KEY, *[f"m{i}" for i in range(P)], *[c.alias(k) for k, c in (scale | zero).items()])
 
 
 def _distance(factor: float = 1.0) -> Column:
@@ -157,7 +174,7 @@ def _estimate(rows: DataFrame, name: str) -> DataFrame:
     """Mean and Cholesky factor of the scatter of each group's rows."""
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"a{i}") for i in range(P)]]
     sums += [F.sum(F.col(f"x{i}") * F.col(f"x{k}")).alias(f"b{i}_{k}") for i in range(P) for k in range(i + 1)]
-    g = rows.groupBy(*GROUP).agg(*sums)
+    g = rows.groupBy(*KEY).agg(*sums)
     g = g.withColumns({f"m{i}": F.round(F.col(f"a{i}") / F.col("n"), 9) for i in range(P)})
     for i in range(P):
         for k in range(i + 1):
@@ -167,18 +184,18 @@ def _estimate(rows: DataFrame, name: str) -> DataFrame:
             for j in range(k):
                 c = c - F.col(f"l{i}_{j}") * F.col(f"l{k}_{j}")
             g = g.withColumn(f"l{i}_{k}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == k else c / F.col(f"l{k}_{k}"))
-    return materialize(g.select(*GROUP, *[f"m{i}" for i in range(P)], *[f"l{i}_{k}" for i in range(P) for k in range(i + 1)]), name)
+    return materialize(g.select(*KEY, *[f"m{i}" for i in range(P)], *[f"l{i}_{k}" for i in range(P) for k in range(i + 1)]), name)
 
 
 def _nearest(rows: DataFrame, share: float) -> DataFrame:
     """Of each group, the rows nearest to its centre: the cells of distance that hold ``share`` of them."""
     cell = F.floor(32 * F.log2(1 + F.col("d2")))
     placed = rows.withColumn("_c", cell)
-    cells = placed.groupBy(*GROUP, "_c").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*GROUP)
+    cells = placed.groupBy(*KEY, "_c").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*KEY)
     up = w.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("u", F.sum("n").over(up)).withColumn("all", F.sum("n").over(w))
-    last = cells.where(F.col("u") >= F.ceil(F.lit(share) * F.col("all"))).groupBy(*GROUP).agg(F.min("_c").alias("_last"))
+    last = cells.where(F.col("u") >= F.ceil(F.lit(share) * F.col("all"))).groupBy(*KEY).agg(F.min("_c").alias("_last"))
     return _with(placed, last).where(F.col("_c") <= F.col("_last"))
 
 
@@ -189,7 +206,8 @@ def reject_outliers(docs: DataFrame, limit: float = 60.0, share: float = 0.75, s
     concentration steps each re-estimate mean and scatter from the ``share`` of rows
     that are nearest by the last estimate; one reweighting step follows. Documents
     that pass the base rules are kept if their squared Mahalanobis distance is at most
-    ``limit``. Groups of fewer than ``least_rows`` such documents reject none.
+    ``limit``. Groups of fewer than ``least_rows`` such documents are judged by the
+    estimate of all rows of their language, or of the table if those are too few too.
     A null lang or source is a group of its own; each row is judged for itself, so
     repeated rows get the same verdict. Needs doc_id, text, lang, source; other
     columns are ignored. An empty table gives an empty result.
@@ -198,15 +216,18 @@ def reject_outliers(docs: DataFrame, limit: float = 60.0, share: float = 0.75, s
     stats = materialize(transformed(base_statistics(docs)), "statistics")
     xs = [f"x{i}" for i in range(P)]
     rows = stats.where(~F.col("base_failed")).select("doc_id", *GROUP, *xs)
+    levels = _levels(rows, least_rows)
+    rows = _with(rows, levels, GROUP).withColumn("_at", F.explode("_used")).select("doc_id", *_at(F.col("_at")), *xs)
     params = _start(_centres(rows))
     for k in range(steps):
-        near = _nearest(_with(rows, params).withColumn("d2", _distance()), share).select("doc_id", *GROUP, *xs)
+        near = _nearest(_with(rows, params).withColumn("d2", _distance()), share).select("doc_id", *KEY, *xs)
         params = _estimate(near, f"step{k}")
-    core = _with(rows, params).where(_distance(FACTOR_75) <= CHI_975).select("doc_id", *GROUP, *xs)
+    core = _with(rows, params).where(_distance(FACTOR_75) <= CHI_975).select("doc_id", *KEY, *xs)
     params = _estimate(core, "reweighted")
-    params = _with(params, rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows")))
-    judged = _with(stats, params)
-    d2 = F.when(~F.col("base_failed") & (F.col("_rows") >= least_rows), _distance(FACTOR_975))
+    own = levels.select(*[F.col(g).alias(f"own_{g}") for g in GROUP], *_at(F.col("_level")))
+    params = _with(own, params).drop(*KEY).withColumnsRenamed({f"own_{g}": g for g in GROUP})
+    judged = _with(stats, params, GROUP)
+    d2 = F.when(~F.col("base_failed"), _distance(FACTOR_975))
     judged = judged.withColumn("distance2", d2)
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= limit))
     return judged.select("doc_id", *GROUP, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *xs, "distance2", "base_failed", kept.alias("kept"))

@@ -233,6 +233,16 @@ def test_outliers(docs, nothing, spark):
     assert not any(got[1000 + i] for i in range(5)) and sum(got[i] for i in range(200)) >= 198
 
 
+def test_outliers_in_small_groups(spark):
+    junk = lambda i, lang, source: (i, " ".join(w + "###" for w in split(words(200, i))), lang, source, 1)
+    plain = [(i, words(200 + i, i), "en", f"s{i % 20}", 1) for i in range(200)] + [(300 + i, words(200 + i, i), "en", "big", 1) for i in range(60)]
+    rare = [(400, words(220, 400), "xx", "rare", 1), (401, words(220, 401), None, None, 1)]
+    bad = [junk(1000, "en", "s0"), junk(1001, "en", "only"), junk(1002, "xx", "rare"), junk(1003, None, None)]
+    got = {r.doc_id: r for r in outliers.reject_outliers(docs_of(spark, plain + rare + bad)).collect()}
+    assert len(got) == len(plain + rare + bad) and all(r.distance2 is not None for r in got.values() if not r.base_failed)
+    assert not any(got[r[0]].kept for r in bad) and got[400].kept and got[401].kept and sum(got[r[0]].kept for r in plain) >= 255
+
+
 def test_outliers_agree_with_numpy(spark):
     rows = [(i, words(60 + 3 * i, i) + (" # $ %" * (i % 7)), "en", "a", 1) for i in range(160)]
     p = outliers.reject_outliers(docs_of(spark, rows)).toPandas()
