@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import materialize
 from .words import buffers, give_back, word_hashes
 
-WORD_CELLS, LANG_CELLS, SOURCE_CELLS = 256, 16, 64
+WORD_CELLS, LANG_CELLS, SOURCE_CELLS = 512, 16, 64
 N_TEXT = 256 + WORD_CELLS + 3
 N_META = LANG_CELLS + SOURCE_CELLS + 3
 
@@ -89,18 +91,22 @@ class Model:
         return self.a * (((x - self.mean) / self.scale) @ self.weight[:-1] + self.weight[-1]) + self.b
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Weights and intercept of ridge logistic regression; the intercept is free."""
-    x = np.c_[x, np.ones(len(x))]
-    xs = np.empty_like(x)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, mean=0.0, scale=1.0) -> np.ndarray:
+    """Weights and intercept of ridge logistic regression on ``(x - mean) / scale``; the intercept is free."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        s = np.maximum(p * (1 - p), 1e-6)
-        np.multiply(x, s[:, None], out=xs)
-        step = np.linalg.solve(xs.T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        hessian, gradient = np.diag(penalty), -penalty * w
+        for lo in range(0, len(x), 512):
+            part = (x[lo : lo + 512] - mean) / scale
+            part = np.c_[part, np.ones(len(part))]
+            p = _sigmoid(part @ w)
+            s = np.maximum(p * (1 - p), 1e-6)
+            hessian += (part * s[:, None]).T @ part
+            gradient += part.T @ (y[lo : lo + 512] - p)
+        step = np.linalg.solve(hessian, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -110,7 +116,7 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.nd
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 20.0) -> Model:
     mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    return Model(mean, scale, newton((x - mean) / scale, y, ridge))
+    return Model(mean, scale, newton(x, y, ridge, mean=mean, scale=scale))
 
 
 def calibrate(m: Model, x: np.ndarray, y: np.ndarray) -> Model:
@@ -131,36 +137,32 @@ class Classifier:
         return _sigmoid(t), _sigmoid(m), _sigmoid(self.mix[0] * t + self.mix[1] * m + self.mix[2])
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 3, per_round: int = 256, sure: float = 0.97) -> Classifier | None:
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, rounds: int = 3) -> Classifier | None:
     """Fit both views on labelled rows, let each hand the other its surest pseudo-labels, then combine.
 
-    Every fourth labelled row is held out for calibration. In a round each calibrated
-    view labels the pool; up to ``per_round`` rows of each class that it is at least
-    ``sure`` of join the other view's training rows. The views' calibrated logits are
-    weighted by a regression on the held-out rows. None if a class is missing.
+    Every fourth labelled row is held out for calibration. In a round
+    ``surest(models, taken)`` gives, for each calibrated view, documents that it is sure
+    of (ids, both views, labels) and that are not among those taken; they join the other
+    view's training rows. The views' calibrated logits are weighted by a regression on
+    the held-out rows. None if a class is missing.
     """
     held = np.arange(len(y)) % 4 == 3
     if not (0 < y[~held].sum() < (~held).sum()) or not (0 < y[held].sum() < held.sum()):
         return None
-    given = [(np.zeros(0, np.int64), np.zeros(0)) for _ in views]
+    given = [(np.zeros(0, np.int64), np.zeros((0, v.shape[1]), np.float32), np.zeros(0)) for v in views]
     models: list[Model] = []
     for turn in range(rounds + 1):
         models = []
         for v in range(2):
-            rows, labels = given[v]
-            x = np.concatenate([views[v][~held], pool[v][rows]])
-            models.append(calibrate(fit(x, np.concatenate([y[~held], labels])), views[v][held], y[held]))
-        if turn == rounds or not len(pool[0]):
+            _, rows, labels = given[v]
+            models.append(calibrate(fit(np.concatenate([views[v][~held], rows]), np.concatenate([y[~held], labels])), views[v][held], y[held]))
+        if turn == rounds:
+            break
+        picked = surest(models, [given[1][0], given[0][0]])
+        for v, (ids, rows, labels) in enumerate(picked):
+            given[1 - v] = tuple(np.concatenate(x) for x in zip(given[1 - v], (ids, rows[1 - v], labels), strict=True))
+        if not sum(len(ids) for ids, _, _ in picked):
             break
-        for v in range(2):
-            p = _sigmoid(models[v].logit(pool[v]))
-            good = np.flatnonzero(p >= sure)
-            bad = np.flatnonzero(p <= 1 - sure)
-            good, bad = good[np.argsort(-p[good], kind="stable")[:per_round]], bad[np.argsort(p[bad], kind="stable")[:per_round]]
-            rows = np.r_[given[1 - v][0], good, bad]
-            labels = np.r_[given[1 - v][1], np.ones(len(good)), np.zeros(len(bad))]
-            rows, at = np.unique(rows, return_index=True)
-            given[1 - v] = rows, labels[at]
     logits = np.c_[models[0].logit(views[0][held]), models[1].logit(views[1][held])]
     return Classifier(models[0], models[1], newton(logits, y[held], 1.0))
 
@@ -178,30 +180,72 @@ def _sample(docs: DataFrame, picked: DataFrame) -> pa.Table:
     return table.sort_by([("doc_id", "ascending")])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, most_pool: int = 2048) -> Classifier | None:
-    """Fit on at most ``most_labelled`` labelled and ``most_pool`` other documents.
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(table[c].combine_chunks().flatten().to_numpy().reshape(-1, n) for c, n in (("t", N_TEXT), ("m", N_META)))
+
+
+def surest_ids(docs: DataFrame, labels: DataFrame, models: list[Model], taken: list[np.ndarray], per_round: int, sure: float) -> DataFrame:
+    """doc_id, view and good of the documents without a label that a view is surest of, up to ``per_round`` of each class.
 
-    Both are those of the smallest hash of their ids, so the sample's size is a
-    parameter and the fit takes place on the driver within it. Of several labels of
-    one document the lowest counts; null labels count as none.
+    All documents are scored where they lie; ids and logits of those that a view is at
+    least ``sure`` of are all that moves. A view passes over the ids in its ``taken``.
+    """
+    cut = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                ids = part["doc_id"].to_numpy()
+                z = [np.where(np.isin(ids, t), 0.0, np.round(m.logit(x), 6)) for m, x, t in zip(models, (text_view(part["text"]), meta_view(part)), taken, strict=True)]
+                good = np.maximum(np.abs(z[0]), np.abs(z[1])) >= cut
+                yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(z[0][good]), pa.array(z[1][good])], names=["doc_id", "z0", "z1"])
+
+    z = _views(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id bigint, z0 double, z1 double")
+    z = z.join(labels.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.max(F.struct("z0", "z1")).alias("z")).select("doc_id", "z.*")
+    z = materialize(z, "sure")
+    tops = []
+    for v in range(2):
+        for good in (1, 0):
+            far = F.col(f"z{v}") if good else -F.col(f"z{v}")
+            top = z.where(far >= cut).orderBy(far.desc(), F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(per_round)
+            tops.append(top.select("doc_id", F.lit(v).alias("view"), F.lit(good).alias("good")))
+    return materialize(reduce(DataFrame.unionByName, tops), "surest")
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, per_round: int = 256, sure: float = 0.97) -> Classifier | None:
+    """Fit on at most ``most_labelled`` labelled documents and the surest of all others.
+
+    The labelled ones are those of the smallest hash of their ids. In each round every
+    document without a label is scored in the executors; only the surest, ``per_round``
+    a class and view, come to the driver. Of several labels of one document the lowest
+    counts; null labels count as none.
     """
     few = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
-    labelled = few.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_labelled)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    pool = others.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(most_pool).withColumn("good", F.lit(-1))
-    table = _sample(docs, labelled.unionByName(pool))
+    table = _sample(docs, few.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_labelled))
     if not len(table):
         return None
-    good = np.array(table["good"].to_numpy())
-    has = good >= 0
-    shape = lambda c, n: table[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
-    views = tuple(shape(c, n)[has] for c, n in (("t", N_TEXT), ("m", N_META)))
-    pool = tuple(shape(c, n)[~has] for c, n in (("t", N_TEXT), ("m", N_META)))
+
+    def surest(models: list[Model], taken: list[np.ndarray]):
+        top = surest_ids(docs, labels, models, taken, per_round, sure)
+        found = _sample(docs, top.select("doc_id", F.lit(-1).alias("good")).distinct())
+        ids, at = np.unique(found["doc_id"].to_numpy().astype(np.int64), return_index=True)
+        rows = tuple(x[at] for x in _arrays(found)) if len(ids) else (np.zeros((0, N_TEXT), np.float32), np.zeros((0, N_META), np.float32))
+        told = [(r.doc_id, r.view, r.good) for r in top.collect()]
+        out = []
+        for v in range(2):
+            mine = sorted((i, g) for i, view, g in told if view == v)
+            k = np.searchsorted(ids, np.array([i for i, _ in mine], np.int64))
+            out.append((ids[k], tuple(x[k] for x in rows), np.array([g for _, g in mine], float)))
+        return out
+
+    good = np.array(table["good"].to_numpy()).astype(float)
+    views = _arrays(table)
     del table
     try:
-        return cotrain(views, good[has].astype(float), pool)
+        return cotrain(views, good, surest)
     finally:
-        del views, pool
+        del views
         give_back()
 
 

@@ -282,6 +282,20 @@ def test_classifier(docs, nothing, spark):
     assert cotraining.classify(nothing, labels).collect() == []
 
 
+def test_classifier_draws_on_all_documents(spark):
+    """The surest are found among all unlabelled documents: no pool of a fixed size."""
+    df = docs_of(spark, [(i, "some words", "en", "a", 10 + i) for i in range(3000)]).repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2990, 3000)], "doc_id bigint, quality int, toxic int")
+    at = lambda n: np.eye(n)[n - 2]
+    m = [cotraining.Model(np.zeros(n), np.ones(n), np.r_[w * at(n), b]) for n, w, b in ((cotraining.N_TEXT, 0.0, 0.0), (cotraining.N_META, 100.0, -500.0))]
+    taken = [np.zeros(0, np.int64), np.array([2989, 0])]
+    got = cotraining.surest_ids(df, labels, m, taken, 1000, 0.97).collect()
+    assert {r.doc_id for r in got if r.good} == set(range(1989, 2989)) and {r.doc_id for r in got if not r.good} <= set(range(1, 150))
+    assert all(r.view == 1 for r in got)
+    few = cotraining.surest_ids(df, labels, m, taken, 2, 0.97).collect()
+    assert sorted((r.doc_id, r.good) for r in few) == [(1, 0), (2, 0), (2987, 1), (2988, 1)]
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in r.normal(0, 0.3, 8)]) for i in range(400)]
