@@ -123,7 +123,7 @@ def patch_labels(spark, d):
     return labelled(spark, d).where("size >= 3").select("sid", "r", "c", "label")
 
 
-@query("G-07_distance_transform", f"WITH {X.GRIDS}, f AS (SELECT sid, r, c FROM grids WHERE v > 0.15 AND sid < 100), m AS (SELECT g.sid, g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM grids g JOIN f USING (sid) GROUP BY ALL) SELECT g.sid, g.r, g.c, round(coalesce(sqrt(d2), 80.0), 6) AS distance FROM grids g LEFT JOIN m ON g.sid = m.sid AND g.r = m.r AND g.c = m.c WHERE g.sid < 100")
+@query("G-07_distance_transform", f"WITH {X.GRIDS}, f AS (SELECT sid, r, c FROM grids WHERE v > 0.15), m AS (SELECT g.sid, g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM grids g JOIN f USING (sid) GROUP BY ALL) SELECT g.sid, g.r, g.c, round(coalesce(sqrt(d2), 80.0), 6) AS distance FROM grids g LEFT JOIN m ON g.sid = m.sid AND g.r = m.r AND g.c = m.c")
 def distance_transform(spark, d):
     g = X.grids(spark, d).select("sid", "r", "c", "v")
     hits = g.where("v > 0.15").withColumn("one", F.lit(1))
@@ -164,7 +164,7 @@ def source_configs(spark, d):
     return reduce(lambda a, b: a.unionByName(b), [points, strip("r", "wall_to_wall_NS"), strip("c", "wall_to_wall_EW"), adv, omni])
 
 
-_CFG = f"""{SMALL}, g AS (SELECT * FROM rs WHERE sid < 20), e AS (SELECT sid, quantile_cont(res, 0.25) AS q FROM g GROUP BY sid), st AS (SELECT g.* FROM g JOIN e USING (sid) WHERE res <= q),
+_CFG = f"""{SMALL}, g AS (SELECT * FROM rs), e AS (SELECT sid, quantile_cont(res, 0.25) AS q FROM g GROUP BY sid), st AS (SELECT g.* FROM g JOIN e USING (sid) WHERE res <= q),
 cfg AS (SELECT sid, 'points' AS config, 'points' AS kind, count(*) AS n_pixels FROM g WHERE (r = 0 AND c = 0) OR (r = 7 AND c = 7) OR (r = 0 AND c = 7) GROUP BY sid
   UNION ALL SELECT sid, 'wall_to_wall_NS', 'wall_to_wall', count(*) FROM g WHERE r < 1 OR r >= 7 GROUP BY sid UNION ALL SELECT sid, 'wall_to_wall_EW', 'wall_to_wall', count(*) FROM g WHERE c < 1 OR c >= 7 GROUP BY sid
   UNION ALL SELECT sid, 'advanced', 'advanced', count(*) FROM st WHERE r > 0 GROUP BY sid UNION ALL SELECT sid, 'omniscape', 'omniscape', count(*) FROM st GROUP BY sid)"""

@@ -13,7 +13,7 @@ from .surfaces import SURFACE, surface
 
 # Resistance of the small rasters: 1 to 10, from the cell's value.
 _R = "1.0 + 9.0 * abs(v)"
-SMALL = f"{X.GRIDS}, rs AS (SELECT sid, label, r, c, v, 1.0::DOUBLE + 9.0::DOUBLE * abs(v) AS res FROM grids WHERE sid < 200)"
+SMALL = f"{X.GRIDS}, rs AS (SELECT sid, label, r, c, v, 1.0::DOUBLE + 9.0::DOUBLE * abs(v) AS res FROM grids)"
 OFF = "off(dr, dc, dg) AS (VALUES (0, 1, false), (1, 0, false), (1, 1, true), (1, -1, true))"
 EDGE = f"{OFF}, edge AS (SELECT a.sid, a.r, a.c, b.r AS r2, b.c AS c2, (1.0 / a.res + 1.0 / b.res) / 2 / (CASE WHEN dg THEN sqrt(2.0::DOUBLE) ELSE 1 END) AS g FROM rs a, off JOIN rs b ON a.sid = b.sid AND b.r = a.r + dr AND b.c = a.c + dc)"
 WAYS = "ways AS (SELECT sid, r, c, r2, c2, g FROM edge UNION ALL SELECT sid, r2, c2, r, c, g FROM edge)"
@@ -74,7 +74,7 @@ def cumulative(spark, d):
     return small(spark, d).groupBy("label", "r", "c").agg(F.round(F.sum(F.abs("v")), 6).alias("cum"))
 
 
-_COMP = f"""{X.GRIDS}, ok AS (SELECT sid, r, c, r * 1000000 + c AS n FROM grids WHERE sid < 60 AND v > -0.02), lk AS (SELECT a.sid, a.n AS a, b.n AS b FROM ok a JOIN ok b ON a.sid = b.sid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+_COMP = f"""{X.GRIDS}, ok AS (SELECT sid, r, c, r * 1000000 + c AS n FROM grids WHERE v > -0.02), lk AS (SELECT a.sid, a.n AS a, b.n AS b FROM ok a JOIN ok b ON a.sid = b.sid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
 reach AS (SELECT sid, a, b FROM lk UNION SELECT r.sid, r.a, l.b FROM reach r JOIN lk l ON r.sid = l.sid AND r.b = l.a), low AS (SELECT sid, a AS n, min(b) AS m FROM reach GROUP BY ALL),
 sizes AS (SELECT sid, m, count(*) AS size, row_number() OVER (PARTITION BY sid ORDER BY count(*) DESC, m) - 1 AS label FROM low GROUP BY sid, m),
 comp AS (SELECT low.sid, n // 1000000 AS r, n % 1000000 AS c, CAST(label AS INTEGER) AS label, size FROM low JOIN sizes ON low.sid = sizes.sid AND low.m = sizes.m)"""

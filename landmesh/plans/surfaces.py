@@ -146,11 +146,12 @@ def merge(spark, d):
     return C.merge_sources(X.cells(spark, d).withColumnRenamed("sid", "source_order"), "source_order", "elevation", "r", "c")
 
 
-@query("SRC-05_primary_or_fallback", f"WITH {X.CELLS} SELECT a.r, a.c, coalesce(a.elevation, b.elevation) AS elevation FROM cells a LEFT JOIN cells b ON b.sid = 1 AND a.r = b.r AND a.c = b.c WHERE a.sid = 0")
+@query("SRC-05_primary_or_fallback", f"WITH {X.CELLS} SELECT a.sid, a.r, a.c, coalesce(a.elevation, b.elevation) AS elevation FROM cells a LEFT JOIN cells b ON b.sid = a.sid + 1 AND a.r = b.r AND a.c = b.c")
 def fallback(spark, d):
+    """The raster of the next number stands in where a raster has no elevation."""
     c = X.cells(spark, d)
-    a, b = c.where("sid = 0"), c.where("sid = 1").select("r", "c", F.col("elevation").alias("other"))
-    return a.join(b, ["r", "c"], "left").select("r", "c", F.coalesce("elevation", "other").alias("elevation"))
+    other = c.select((F.col("sid") - 1).alias("sid"), "r", "c", F.col("elevation").alias("other"))
+    return c.join(other, ["sid", "r", "c"], "left").select("sid", "r", "c", F.coalesce("elevation", "other").alias("elevation"))
 
 
 @query("P-12_rescale", f"WITH {X.GRIDS} SELECT sid, r, c, round(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END, 6) AS f FROM grids WINDOW w AS (PARTITION BY sid)")

@@ -176,11 +176,12 @@ def vector_bbox(spark, d):
     return b.where((F.col("lat1") >= -10) & (F.col("lat0") <= 30) & (F.col("lon1") >= 0) & (F.col("lon0") <= 60)).select("tile_id", "realm")
 
 
-@query("SRC-15_point_sample", f"""WITH {X.TILES}, {X.CELLS}, s AS (SELECT tile_id, CAST(floor((lat + 55) / 4) AS BIGINT) % 32 AS r, CAST(floor((lon + 180) / 12) AS BIGINT) % 32 AS c FROM tiles), m AS (SELECT max(slope) AS m FROM cells WHERE sid = 0)
-SELECT tile_id, round(CASE WHEN m > 1.5 THEN slope / CAST(m AS DOUBLE) ELSE slope END, 6) AS value FROM s JOIN cells USING (r, c), m WHERE sid = 0""")
+@query("SRC-15_point_sample", f"""WITH {X.TILES}, {X.CELLS}, s AS (SELECT tile_id, c_custkey // 150 AS sid, CAST(floor((lat + 55) / 4) AS BIGINT) % 32 AS r, CAST(floor((lon + 180) / 12) AS BIGINT) % 32 AS c FROM tiles), m AS (SELECT sid, max(slope) AS m FROM cells GROUP BY sid)
+SELECT tile_id, round(CASE WHEN m > 1.5 THEN slope / CAST(m AS DOUBLE) ELSE slope END, 6) AS value FROM s JOIN cells USING (sid, r, c) JOIN m USING (sid)""")
 def point_sample(spark, d):
-    t = X.tiles(spark, d).select("tile_id", (F.floor((F.col("lat") + 55) / 4) % 32).alias("r"), (F.floor((F.col("lon") + 180) / 12) % 32).alias("c"))
-    cells = X.cells(spark, d).where("sid = 0").select("r", "c", "slope")
-    top = cells.agg(F.max("slope").alias("m"))
-    v = t.join(cells, ["r", "c"]).crossJoin(F.broadcast(top))
+    """Each tile's place looked up in its raster; percentages (a raster with values over 1.5) become shares of its maximum."""
+    t = X.tiles(spark, d).select("tile_id", F.expr("c_custkey DIV 150").alias("sid"), (F.floor((F.col("lat") + 55) / 4) % 32).alias("r"), (F.floor((F.col("lon") + 180) / 12) % 32).alias("c"))
+    cells = X.cells(spark, d).select("sid", "r", "c", "slope")
+    top = cells.groupBy("sid").agg(F.max("slope").alias("m"))
+    v = t.join(cells, ["sid", "r", "c"]).join(top, "sid")
     return v.select("tile_id", F.round(F.when(F.col("m") > 1.5, F.col("slope") / F.col("m").cast("double")).otherwise(F.col("slope")), 6).alias("value"))

@@ -23,16 +23,15 @@ def case(column: str, values: dict, other: str = "NULL") -> str:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four landscapes of 32 by 32 covariate cells (null: outside the data)."""
+    """Landscapes of 32 by 32 covariate cells, one for every ten suppliers (null: outside the data)."""
     li = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 4).alias("sid"),
+        F.expr("l_suppkey DIV 10").alias("sid"),
         ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 32).alias("r"),
         ((F.col("l_partkey") * 17 + F.col("l_linenumber") * 5) % 32).alias("c"),
         F.col("l_linenumber").cast("bigint").alias("ln"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_orderkey").alias("ok"),
     )
     agg = li.groupBy("sid", "r", "c").agg(F.sum("ln").alias("sl"), F.sum("q").alias("sq"), F.max("ok").alias("mo"))
-    one = spark.range(1)
-    grid = one.select(F.explode(F.expr("sequence(0L, 3L)")).alias("sid")).select("sid", F.explode(F.expr("sequence(0L, 31L)")).alias("r")).select("sid", "r", F.explode(F.expr("sequence(0L, 31L)")).alias("c"))
+    grid = agg.select("sid").distinct().select("sid", F.explode(F.expr("sequence(0L, 31L)")).alias("r")).select("sid", "r", F.explode(F.expr("sequence(0L, 31L)")).alias("c"))
     ix = F.expr("CASE WHEN sl IS NULL OR sl % 11 = 0 THEN 0 ELSE sq % 11 + 1 END").cast("int")
     return grid.join(agg, ["sid", "r", "c"], "left").select(
         "sid", "r", "c", F.get(F.array(*[F.lit(x) for x in K.LANDCOVER]), ix).cast("bigint").alias("landcover"),
@@ -43,11 +42,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS = f"""
 fx_a AS (
-  SELECT l_suppkey % 4 AS sid, (l_orderkey * 31 + l_linenumber * 7) % 32 AS r, (l_partkey * 17 + l_linenumber * 5) % 32 AS c,
+  SELECT l_suppkey // 10 AS sid, (l_orderkey * 31 + l_linenumber * 7) % 32 AS r, (l_partkey * 17 + l_linenumber * 5) % 32 AS c,
     CAST(sum(l_linenumber) AS BIGINT) AS sl, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sq, max(l_orderkey) AS mo
   FROM lineitem GROUP BY 1, 2, 3
 ), fx_g AS (
-  SELECT s.x AS sid, r.x AS r, c.x AS c FROM range(4) s(x), range(32) r(x), range(32) c(x)
+  SELECT s.sid, r.x AS r, c.x AS c FROM (SELECT DISTINCT sid FROM fx_a) s, range(32) r(x), range(32) c(x)
 ), cells AS (
   SELECT g.sid, g.r, g.c, CAST(({K.LANDCOVER})[CASE WHEN sl IS NULL OR sl % 11 = 0 THEN 0 ELSE sq % 11 + 1 END + 1] AS BIGINT) AS landcover,
     mo % 60 AS slope, mo % 6 AS road_class, (sq * 37) % 3000 AS road_distance, CAST(sq % 101 AS DOUBLE) / 100.0::DOUBLE AS ghm, (mo * 13) % 5000 AS elevation
