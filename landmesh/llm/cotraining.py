@@ -36,7 +36,7 @@ def text_view(column: pa.Array) -> np.ndarray:
             doc = np.searchsorted(e, np.arange(a, a + len(piece)), "right") - 1 if n > 1 else np.zeros(len(piece), np.int64)
             out[lo:hi, :256] += np.bincount(doc * 256 + piece, minlength=n * 256).reshape(n, 256)
         out[lo:hi, :256] = np.sqrt(out[lo:hi, :256] / np.maximum(size, 1)[:, None])
-        words, count = word_hashes(part, e)
+        (words,), count = word_hashes(part, e)
         doc = np.repeat(np.arange(n), count)
         cell = (words % np.uint64(WORD_CELLS)).astype(np.int64)
         hist = np.bincount(doc * WORD_CELLS + cell, minlength=n * WORD_CELLS).reshape(n, WORD_CELLS)

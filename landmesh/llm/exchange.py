@@ -1,14 +1,22 @@
 """Corpus-wide facts about hashed windows, at a few bytes a window.
 
-Documents are dealt to chunks by a hash of their id. A chunk sends each distinct
+Documents are dealt to chunks by a hash of their row. A chunk sends each distinct
 hash once, sorted and delta-coded, to the bucket of its leading bits; a bucket sends
 back one small code for each hash of each chunk that holds something to tell. Hot
 hashes cost one entry a chunk, so no bucket grows with a hash's frequency.
+
+A first exchange sends short hashes, of a few bits more than it takes to number all
+windows. Equal windows have equal short hashes, so what it finds alone is alone; what
+it finds together may not be equal and is looked at again, by its whole hashes.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,21 +24,33 @@ from pyspark.sql import functions as F
 #: Bytes of text in a chunk, and distinct windows in a bucket, about.
 CHUNK_BYTES = 4 << 20
 BUCKET_WINDOWS = 2_000_000
-CHUNK, REST = "__lm_chunk", "__lm_rest"
+#: Bits of a short hash beyond those that number the windows: one alone in 2 ** SPARE_BITS meets another.
+SPARE_BITS = 6
+CHUNK, REST, TIE = "__lm_chunk", "__lm_rest", "__lm_tie"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Numbers of chunks and of buckets (a power of two), and the bits of a short hash."""
+
+    chunks: int
+    buckets: int
+    bits: int
 
 
-def plan(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
-    """Numbers of chunks and of buckets (a power of two) for all of ``docs``."""
+def plan(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Plan:
+    """What suits all of ``docs``: a word takes some six bytes."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = 1 << max(6, int(np.ceil(np.log2(max(1, size / 6 / BUCKET_WINDOWS)))))
-    return max(64, -(-size // chunk_bytes)), buckets
+    windows = max(1, size / 6)
+    buckets = 1 << max(6, math.ceil(math.log2(max(1, windows / BUCKET_WINDOWS))))
+    return Plan(max(64, -(-size // chunk_bytes)), buckets, min(64, max(16, math.ceil(math.log2(windows)) + SPARE_BITS)))
 
 
 def dealt(docs: DataFrame, chunks: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its chunk; all columns but id and text travel in one struct."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text)]
     rest = F.struct(*others) if others else F.lit(None).cast("int")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), rest.alias(REST), F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias(CHUNK))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), rest.alias(REST), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(TIE)).withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", TIE), F.lit(chunks)).cast("int"))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -57,12 +77,45 @@ def unsqueeze_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unsqueeze(data, n), dtype=np.uint64)
 
 
-def cells(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of each bucket's part among sorted hashes."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+def cells(hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Bounds of each bucket's part among sorted hashes of ``bits`` bits."""
+    shift = np.uint64(bits - (buckets.bit_length() - 1))
     return np.searchsorted(hashes >> shift, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def base(bucket: int, buckets: int) -> np.uint64:
+def base(bucket: int, buckets: int, bits: int = 64) -> np.uint64:
     """The smallest hash of a bucket; hashes are sent relative to it."""
-    return np.uint64(bucket) << np.uint64(64 - (buckets.bit_length() - 1))
+    return np.uint64(bucket) << np.uint64(bits - (buckets.bit_length() - 1))
+
+
+def short(hashes: np.ndarray, p: Plan) -> np.ndarray:
+    return hashes >> np.uint64(64 - p.bits)
+
+
+def table(rows: list[tuple], **kinds) -> pa.Table:
+    """Rows of Python values as a table of the given columns."""
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+
+def send(chunk: int, values: np.ndarray, p: Plan, *more: np.ndarray) -> list[tuple]:
+    """Messages of a chunk's sorted short hashes to their buckets: bucket, chunk, number, hashes, and what goes with them."""
+    bounds, out = cells(values, p.buckets, p.bits), []
+    for b in np.flatnonzero(np.diff(bounds)):
+        at = slice(bounds[b], bounds[b + 1])
+        out.append((int(b), chunk, int(at.stop - at.start), squeeze_sorted(values[at] - base(b, p.buckets, p.bits)), *(squeeze(x[at]) for x in more)))
+    return out
+
+
+def received(messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all messages of a bucket, relative to it, and the bounds of each message's part."""
+    sizes = messages["n"].to_numpy()
+    return np.concatenate([unsqueeze_sorted(h.as_py(), n) for h, n in zip(messages["hashes"], sizes, strict=True)]), np.r_[0, np.cumsum(sizes)]
+
+
+def squeeze_bits(flags: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
+
+
+def unsqueeze_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)

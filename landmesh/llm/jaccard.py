@@ -27,63 +27,60 @@ _ROUNDS = [np.uint64(0x9FB21C651E98DF25 * (2 * r + 1) & (2**64 - 1)) for r in ra
 
 
 class _Sets:
-    """The distinct shingles of one chunk's documents: hashes sorted, with the document of each."""
+    """The distinct shingles of one chunk's documents: hashes sorted, with the document of each.
 
-    def __init__(self, table: pa.Table, size: int):
-        self.rows = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    ``values`` and ``count`` are the distinct short hashes and their documents, ``place``
+    the number of each shingle's short hash.
+    """
+
+    def __init__(self, table: pa.Table, size: int, p: X.Plan):
+        self.rows = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), (X.TIE, "ascending")]))
         words, counts = word_hashes(*buffers(self.rows["text"]), lower=True)
-        hashes, _, n = window_hashes(words, counts, size, whole=True)
+        (hashes,), _, n = window_hashes(words, counts, size, whole=True)
         doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((doc, hashes))
+        order = np.argsort(hashes, kind="stable")
         hashes, doc = hashes[order], doc[order]
         fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(hashes) else np.zeros(0, bool)
         self.hashes, self.doc = hashes[fresh], doc[fresh]
-        self.unique, self.place, self.count = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        self.values, self.place, self.count = np.unique(X.short(self.hashes, p), return_inverse=True, return_counts=True)
 
 
-def _send(size: int, buckets: int):
+def _send(size: int, p: X.Plan):
     @gives_back
     def run(key, table):
-        s = _Sets(table, size)
-        bounds, out = X.cells(s.unique, buckets), []
-        for b in np.flatnonzero(np.diff(bounds)):
-            at = slice(bounds[b], bounds[b + 1])
-            out.append((int(b), at.stop - at.start, X.squeeze_sorted(s.unique[at] - X.base(b, buckets)), X.squeeze(s.count[at])))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        a = [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-        return pa.table([a[0], pa.array([key[0].as_py()] * len(out), pa.int32()), *a[1:]], names=["bucket", "chunk", "n", "hashes", "counts"])
+        s = _Sets(table, size, p)
+        b = pa.binary()
+        return X.table(X.send(key[0].as_py(), s.values, p, s.count), bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=b, counts=b)
 
     return run
 
 
 @gives_back
-def _frequency(key, table):
-    """For each chunk of a bucket: the class of each of its shingles' document frequencies (0: once; else 1 + log2)."""
-    rows = table.to_pylist()
-    hashes = np.concatenate([X.unsqueeze_sorted(r["hashes"], r["n"]) for r in rows])
-    counts = np.concatenate([X.unsqueeze(r["counts"], r["n"]) for r in rows]).astype(np.int64)
+def _frequency(key, messages):
+    """For each chunk of a bucket: the class of each of its short hashes' document frequencies (0: once; else 1 + log2)."""
+    hashes, bounds = X.received(messages)
+    sizes = np.diff(bounds)
+    counts = np.concatenate([X.unsqueeze(c.as_py(), n) for c, n in zip(messages["counts"], sizes, strict=True)]).astype(np.int64)
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     total = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.r_[first, len(h)])) if len(h) else counts
     kind = np.zeros(len(h), np.int64)
     kind[order] = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0)
-    out, lo = [], 0
-    for r in rows:
-        mine = kind[lo : lo + r["n"]]
-        lo += r["n"]
+    out = []
+    for k, chunk in enumerate(messages["chunk"].to_pylist()):
+        mine = kind[bounds[k] : bounds[k + 1]]
         if mine.any():
-            out.append((r["chunk"], key[0].as_py(), r["n"], X.squeeze(mine)))
-    cols = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[X.CHUNK, "bucket", "n", "kinds"])
+            out.append((chunk, key[0].as_py(), len(mine), X.squeeze(mine)))
+    return X.table(out, **{X.CHUNK: pa.int32()}, bucket=pa.int32(), n=pa.int32(), kinds=pa.binary())
 
 
-def _describe(size: int, buckets: int, num: int, den: int):
+def _describe(size: int, p: X.Plan, num: int, den: int):
     @gives_back
     def run(docs, marks):
-        s = _Sets(docs, size)
-        bounds = X.cells(s.unique, buckets)
-        kinds = np.zeros(len(s.unique), np.int64)
+        s = _Sets(docs, size, p)
+        bounds = X.cells(s.values, p.buckets, p.bits)
+        kinds = np.zeros(len(s.values), np.int64)
         for r in marks.to_pylist():
             kinds[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = X.unsqueeze(r["kinds"], r["n"])
         kinds = kinds[s.place]
@@ -253,15 +250,15 @@ def shingle_sets(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_
     """One row per document: n (distinct shingles), two sums that name the set, and what a link needs.
 
     A document can link only if ``num`` / ``den`` of its shingles occur in other
-    documents too. Those that can carry their shared shingles, rarest class first, and
+    documents too; frequencies are those of short hashes, so never too small. Those that can carry their shared shingles, rarest class first, and
     how many of these stand in the prefix that any partner's prefix must meet.
     """
-    chunks, buckets = X.plan(docs, text)
-    part = X.dealt(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), chunks)
-    sent = part.groupBy(X.CHUNK).applyInArrow(_send(size, buckets), "bucket int, chunk int, n int, hashes binary, counts binary")
+    p = X.plan(docs, text)
+    part = X.dealt(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), p.chunks)
+    sent = part.groupBy(X.CHUNK).applyInArrow(_send(size, p), "bucket int, chunk int, n int, hashes binary, counts binary")
     marks = sent.groupBy("bucket").applyInArrow(_frequency, f"{X.CHUNK} int, bucket int, n int, kinds binary")
     schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix int, shared array<bigint>, seeds array<bigint>, salts array<bigint>"
-    return part.groupBy(X.CHUNK).cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_describe(size, buckets, num, den), schema)
+    return part.groupBy(X.CHUNK).cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_describe(size, p, num, den), schema)
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import compress
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,82 +14,137 @@ from pyspark.sql import types as T
 from . import exchange as X
 from .words import buffers, gives_back, window_hashes, word_hashes
 
-_NONE = np.iinfo(np.int64).max
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_MARKS = dict(zip((X.CHUNK, "round", "bucket", "n", "bits"), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))
+_MARKS_DDL = f"{X.CHUNK} int, round int, bucket int, n int, bits binary"
 
 
 class _Windows:
-    """The windows of one chunk, in the order of documents and places."""
+    """The windows of one chunk, in the order of documents and places.
 
-    def __init__(self, table: pa.Table, size: int):
-        self.rows = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-        self.ids = np.asarray(self.rows["doc_id"].fill_null(_NONE).to_numpy())
-        words, self.n_words = word_hashes(*buffers(self.rows["text"]))
-        hashes, self.starts, self.n = window_hashes(words, self.n_words, size)
-        self.unique, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
+    ``hashes`` holds one or two independent 64-bit hashes of each distinct window, sorted
+    by the first; ``first`` its first window, ``place`` the number of each window's hash.
+    """
 
+    def __init__(self, table: pa.Table, size: int, ways: int):
+        self.rows = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), (X.TIE, "ascending")]))
+        words, self.n_words = word_hashes(*buffers(self.rows["text"]), ways=ways)
+        hashes, self.starts, self.n = window_hashes(words, self.n_words, size)
+        order = np.argsort(hashes[0], kind="stable")
+        if ways > 1:
+            h, g = (x[order] for x in hashes)
+            if ((h[1:] == h[:-1]) & (g[1:] != g[:-1])).any():
+                order = np.lexsort((hashes[1], hashes[0]))
+        fresh = np.ones(len(order), bool)
+        if len(order):
+            fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in hashes], axis=0)
+        self.first = order[fresh]
+        self.hashes = [x[self.first] for x in hashes]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(fresh) - 1
+
+    def short(self, p: X.Plan) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct short hashes, sorted, and the number of each distinct window's."""
+        return np.unique(X.short(self.hashes[0], p), return_inverse=True)
+
+    def suspects(self, p: X.Plan, marks: pa.Table) -> np.ndarray:
+        """The distinct windows whose short hash other chunks hold too."""
+        values, of = self.short(p)
+        return np.flatnonzero(_marked(marks, 1, X.cells(values, p.buckets, p.bits))[of])
+
+
+def _marked(marks: pa.Table, turn: int, bounds: np.ndarray) -> np.ndarray:
+    out = np.zeros(bounds[-1], bool)
+    for r in marks.select(["round", "bucket", "n", "bits"]).to_pylist():
+        if r["round"] == turn:
+            out[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = X.unsqueeze_bits(r["bits"], r["n"])
+    return out
+
+
+def _send(size: int, p: X.Plan):
+    """First exchange: each chunk's short hashes."""
 
-def _send(size: int, buckets: int):
     @gives_back
     def run(key, table):
-        w = _Windows(table, size)
-        doc = np.repeat(np.arange(len(w.ids)), w.n)[w.first]
-        bounds, out = X.cells(w.unique, buckets), []
-        for b in np.flatnonzero(np.diff(bounds)):
-            at = slice(bounds[b], bounds[b + 1])
-            held, rank = np.unique(doc[at], return_inverse=True)
-            ids = w.ids[held]
-            out.append((int(b), len(rank), X.squeeze_sorted(w.unique[at] - X.base(b, buckets)), len(ids), ids.min(), X.squeeze(np.diff(ids, prepend=ids[:1]).astype(np.uint64)), X.squeeze(rank)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        return pa.table([arrays[0], pa.array([key[0].as_py()] * len(out), pa.int32()), *arrays[1:]], names=["bucket", "chunk", "n", "hashes", "n_ids", "low", "ids", "ranks"])
+        values, _ = _Windows(table, size, 1).short(p)
+        return X.table(X.send(key[0].as_py(), values, p), bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=pa.binary())
 
     return run
 
 
-def _later(buckets: int):
-    """For each chunk of a bucket: which of its hashes occur in a document of smaller id in another chunk."""
+@gives_back
+def _shared(key, messages):
+    """For each chunk of a bucket: which of its short hashes another chunk sent too."""
+    hashes, bounds = X.received(messages)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    flags = np.zeros(len(hashes), bool)
+    flags[order] = np.r_[same, False] | np.r_[False, same]
+    return _replies(key, messages, bounds, flags, 1)
+
+
+def _replies(key, messages, bounds, flags, turn):
+    out = []
+    for k, chunk in enumerate(messages["chunk"].to_pylist()):
+        mine = flags[bounds[k] : bounds[k + 1]]
+        if mine.any():
+            out.append((chunk, turn, key[0].as_py(), len(mine), X.squeeze_bits(mine)))
+    return X.table(out, **_MARKS)
+
+
+def _ask(size: int, p: X.Plan):
+    """Second exchange: whole hashes of the suspects, with the first document that holds each."""
 
     @gives_back
-    def run(key, table):
-        rows = table.to_pylist()
-        sizes = [r["n"] for r in rows]
-        hashes = np.concatenate([X.unsqueeze_sorted(r["hashes"], r["n"]) for r in rows])
-        docs = np.concatenate([(r["low"] + np.cumsum(X.unsqueeze(r["ids"], r["n_ids"])).astype(np.int64))[X.unsqueeze(r["ranks"], r["n"]).astype(np.int64)] for r in rows])
-        order = np.argsort(hashes, kind="stable")
-        h, d = hashes[order], docs[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(d, first) if len(h) else d
-        flags = np.zeros(len(h), bool)
-        flags[order] = d != np.repeat(least, np.diff(np.r_[first, len(h)]))
-        out, lo = [], 0
-        for r, n in zip(rows, sizes, strict=True):
-            mine = flags[lo : lo + n]
-            lo += n
-            if mine.any():
-                out.append((r["chunk"], key[0].as_py(), n, zstandard_bits(mine)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[X.CHUNK, "bucket", "n", "bits"])
+    def run(table, marks):
+        out = []
+        if len(table):
+            w, chunk = _Windows(table, size, 2), table[X.CHUNK][0].as_py()
+            found = w.suspects(p, marks)
+            doc = np.repeat(np.arange(len(w.n)), w.n)[w.first[found]]
+            ids, ties = w.rows["doc_id"], w.rows[X.TIE].to_numpy()
+            none, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+            a, b = (h[found] for h in w.hashes)
+            bounds = X.cells(a, p.buckets)
+            for bucket in np.flatnonzero(np.diff(bounds)):
+                at = slice(bounds[bucket], bounds[bucket + 1])
+                held, rank = np.unique(doc[at], return_inverse=True)
+                out.append((int(bucket), chunk, len(rank), X.squeeze_sorted(a[at] - X.base(bucket, p.buckets)), X.squeeze(b[at]), len(held), X.squeeze(none[held].astype(np.uint64)), X.squeeze(ids[held].astype(np.int64).view(np.uint64)), X.squeeze(ties[held].view(np.uint64)), X.squeeze(rank)))
+        b = pa.binary()
+        return X.table(out, bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=b, others=b, n_docs=pa.int32(), none=b, ids=b, ties=b, ranks=b)
 
     return run
 
 
-def zstandard_bits(flags: np.ndarray) -> bytes:
-    return X.zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
+@gives_back
+def _later(key, messages):
+    """For each chunk of a bucket: which of its windows occur in an earlier document of another chunk."""
+    a, bounds = X.received(messages)
+    rows = messages.select(["n", "others", "n_docs", "none", "ids", "ties", "ranks"]).to_pylist()
+    b = np.concatenate([X.unsqueeze(r["others"], r["n"]) for r in rows])
+    doc = [np.concatenate(x) for x in zip(*[_documents(r) for r in rows], strict=True)]
+    order = np.lexsort((doc[2], doc[1], doc[0], b, a))
+    a, b, doc = a[order], b[order], [x[order] for x in doc]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(a) else order
+    flags = np.zeros(len(a), bool)
+    flags[order] = np.any([x != x[least] for x in doc], axis=0)
+    return _replies(key, messages, bounds, flags, 2)
 
 
-def bits_of(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(X.zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
+def _documents(r) -> list[np.ndarray]:
+    """Whether each window's document lacks an id, its id, and its tie: the order of documents."""
+    rank = X.unsqueeze(r["ranks"], r["n"]).astype(np.int64)
+    return [X.unsqueeze(r[c], r["n_docs"]).view(np.int64)[rank] for c in ("none", "ids", "ties")]
 
 
-def _cut(size: int, buckets: int):
+def _cut(size: int, p: X.Plan):
     @gives_back
     def run(docs, marks):
-        w = _Windows(docs, size)
-        bounds = X.cells(w.unique, buckets)
-        later = np.zeros(len(w.unique), bool)
-        for r in marks.to_pylist():
-            later[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = bits_of(r["bits"], r["n"])
+        w = _Windows(docs, size, 2)
+        found = w.suspects(p, marks)
+        later = np.zeros(len(w.first), bool)
+        later[found] = _marked(marks, 2, X.cells(w.hashes[0][found], p.buckets))
         removed = later[w.place] | (w.first[w.place] != np.arange(len(w.place)))
         edge = np.zeros(int(w.n_words.sum()) + 1, np.int64)
         edge += np.bincount(w.starts[removed], minlength=len(edge))
@@ -98,49 +153,67 @@ def _cut(size: int, buckets: int):
         ends = np.r_[0, np.cumsum(w.n_words)]
         total = np.r_[0, np.cumsum(gone)]
         n_removed = total[ends[1:]] - total[ends[:-1]]
-        texts = []
-        for i, text in enumerate(w.rows["text"]):
-            text = text.as_py()
-            if text is not None:
-                words = text.encode().split()
-                if n_removed[i]:
-                    words = compress(words, ~gone[ends[i] : ends[i + 1]])
-                text = b" ".join(words).decode()
-            texts.append(text)
-        return pa.table([w.rows["doc_id"], pa.array(texts, pa.string()), w.rows[X.REST], pa.array(w.n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", X.REST, "__lm_words", "__lm_removed"])
+        texts = w.rows["text"]
+        if n_removed.any():
+            texts = pa.array([without(t.as_py(), gone[ends[i] : ends[i + 1]]) if n_removed[i] else t.as_py() for i, t in enumerate(texts)], pa.string())
+        return pa.table([w.rows["doc_id"], texts, w.rows[X.REST], pa.array(w.n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", X.REST, "__lm_words", "__lm_removed"])
 
     return run
 
 
-def drop_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def without(text: str, gone: np.ndarray) -> str:
+    """``text`` without the words marked, and without the white space before each removed run (after it, at the start)."""
+    data = text.encode()
+    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+    spans = [m.span() for m in WORD.finditer(data)]
+    out, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        out.append(data[at : spans[a - 1][1] if a else 0])
+        at = spans[b - 1][1] if a or b == len(spans) else spans[b][0]
+    out.append(data[at:])
+    return b"".join(out).decode()
+
+
+def drop_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = X.CHUNK_BYTES, counts: tuple[str, str] | None = ("n_words", "n_removed")) -> DataFrame:
     """Cut every word of a ``size``-word window that also starts earlier in the corpus.
 
     Words are runs of other characters than space and U+0009 to U+000D, as they stand.
     Earlier means a smaller id (null last), or an earlier start in the same document;
-    windows are judged on the input. Each chunk hashes all its windows; buckets tell
-    which a smaller document of another chunk holds; repeated windows merge into
-    maximal intervals, whose words go. Windows are held equal by 64-bit hashes.
-    Texts become their kept words joined by one space; a null text stays null, one
-    without words becomes empty. Of rows that share an id, the smaller text is the
-    earlier one, and equal ones count as repeats in any order. Adds n_words and
-    n_removed (replacing columns of these names) and keeps all other columns.
+    windows are judged on the input. A first exchange of short Rabin-Karp hashes finds
+    the windows that several chunks may hold; a second one compares two independent
+    61-bit hashes of these and tells which an earlier document of another chunk holds.
+    Repeated windows merge into maximal intervals, whose words go with the white space
+    before them; all else of a text stays as it is, and a text that loses nothing is
+    untouched. A null text stays null. Rows that share an id, or have none, are in the
+    order of a hash of their texts, and equal rows count as repeats in any order.
+    All columns stay; ``counts`` names two more, words and removed words. A name that a
+    column of ``docs`` has already gets ``repeats_`` before it; None adds no counts.
+    An empty table gives an empty result.
     """
-    chunks, buckets = X.plan(docs, text, chunk_bytes)
-    part = X.dealt(docs, chunks, id_col, text)
-    sent = part.groupBy(X.CHUNK).applyInArrow(_send(size, buckets), "bucket int, chunk int, n int, hashes binary, n_ids int, low bigint, ids binary, ranks binary")
-    marks = sent.groupBy("bucket").applyInArrow(_later(buckets), f"{X.CHUNK} int, bucket int, n int, bits binary")
-    counts = [T.StructField(c, T.LongType()) for c in ("__lm_words", "__lm_removed")]
-    schema = T.StructType([T.StructField("doc_id", part.schema["doc_id"].dataType), T.StructField("text", T.StringType()), part.schema[X.REST], *counts])
-    cut = part.groupBy(X.CHUNK).cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_cut(size, buckets), schema)
-    new = {"n_words": F.col("__lm_words"), "n_removed": F.col("__lm_removed"), id_col: F.col("doc_id"), text: F.col("text")}
-    names = [*docs.columns, *(c for c in ("n_words", "n_removed") if c not in docs.columns)]
-    return cut.select(*[(new[c] if c in new else F.col(X.REST)[c]).alias(c) for c in names])
+    p = X.plan(docs, text, chunk_bytes)
+    part = X.dealt(docs, p.chunks, id_col, text)
+    by_chunk = lambda: part.groupBy(X.CHUNK)
+    sent = by_chunk().applyInArrow(_send(size, p), "bucket int, chunk int, n int, hashes binary")
+    marks = sent.groupBy("bucket").applyInArrow(_shared, _MARKS_DDL)
+    asked = by_chunk().cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_ask(size, p), "bucket int, chunk int, n int, hashes binary, others binary, n_docs int, none binary, ids binary, ties binary, ranks binary")
+    marks = marks.unionByName(asked.groupBy("bucket").applyInArrow(_later, _MARKS_DDL))
+    numbers = [T.StructField(c, T.LongType()) for c in ("__lm_words", "__lm_removed")]
+    schema = T.StructType([T.StructField("doc_id", part.schema["doc_id"].dataType), T.StructField("text", T.StringType()), part.schema[X.REST], *numbers])
+    cut = by_chunk().cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_cut(size, p), schema)
+    kept = [(F.col("doc_id") if c == id_col else F.col("text") if c == text else F.col(X.REST)[c]).alias(c) for c in docs.columns]
+    more = []
+    for name, value in zip(counts or (), ("__lm_words", "__lm_removed"), strict=False):
+        while name in docs.columns:
+            name = f"repeats_{name}"
+        more.append(F.col(value).alias(name))
+    return cut.select(*kept, *more)
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = drop_repeats(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    kept = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 SQL = r"""

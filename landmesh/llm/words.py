@@ -7,14 +7,21 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at once; a cut falls on white space or between texts.
 SLICE = 512 << 10
+#: Longer words are hashed one by one.
+LANES = 8
+#: Windows that are hashed at once, so that the steps stay in a core's cache.
+BLOCK = 16384
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_W = np.uint64(0xD6E8FEB86659FD93 | 1)
-_W_INV = np.uint64(pow(int(_W), -1, 1 << 64))
+#: Window hashes are polynomials modulo this Mersenne prime; modulo 2**64 distinct long
+#: sequences of a known form (Thue and Morse's) have equal hashes whatever the base.
+PRIME = np.uint64((1 << 61) - 1)
+#: Bases and seeds of the two independent hashes of words and windows.
+BASES = (0x11E3779B97F4A7C1, 0x0D6E8FEB86659FD9)
+SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,33 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(7))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def _powers(r: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, r, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of a multiplier and of its inverse, grown as needed."""
-
-    def __init__(self, r, inverse):
-        self.r, self.inverse, self.up, self.down = r, inverse, _powers(r, 1), _powers(inverse, 1)
-
-    def get(self, n: int):
-        if len(self.up) < n:
-            self.up, self.down = _powers(self.r, n), _powers(self.inverse, n)
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_R, _R_INV), _Powers(_W, _W_INV)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +53,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (a run of other bytes than 0x20 and 0x09 to 0x0D) and the words of each text."""
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False, ways: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """``ways`` independent 64-bit hashes of each word, and the words of each text.
+
+    A word is a run of other bytes than 0x20 and 0x09 to 0x0D; ``lower`` lowers A-Z.
+    """
     hashes, counts, size = [], np.zeros(len(ends) - 1, np.int64), len(data)
     lo = 0
     while lo < size:
@@ -84,13 +72,32 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tupl
         stops[:-1] &= space[1:]
         stops[inner - 1] = ~space[inner - 1]
         first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        up, down = _BYTES.get(len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[part] if lower else part] * up, out=total[1:])
-        hashes.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        hashes.append(_of_words(_LOWER[part] if lower else part, first, last - first, ways))
         counts += np.bincount(np.searchsorted(ends, first + lo, "right") - 1, minlength=len(counts))
         lo = hi
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
+    return [np.concatenate([h[w] for h in hashes]) if hashes else np.zeros(0, np.uint64) for w in range(ways)], counts
+
+
+def _of_words(part: np.ndarray, first: np.ndarray, size: np.ndarray, ways: int) -> list[np.ndarray]:
+    """A chain over eight bytes at a time, all words in step; words over ``LANES`` such lanes by XXH3."""
+    padded = np.zeros(len(part) + 8, np.uint8)
+    padded[: len(part)] = part
+    lanes = np.ndarray(len(part) + 1, "<u8", padded, strides=(1,))
+    out = [mix(size.astype(np.uint64) ^ SEEDS[w]) for w in range(ways)]
+    live, at, left = slice(None), first, size
+    for lane in range(LANES):
+        value = lanes[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        for h in out:
+            h[live] = mix(h[live] ^ value)
+        live = np.flatnonzero(size > 8 * (lane + 1))
+        if not len(live):
+            return out
+        at, left = first[live] + 8 * (lane + 1), size[live] - 8 * (lane + 1)
+    for i in live:
+        both = xxhash.xxh3_128_intdigest(part[first[i] : first[i] + size[i]].tobytes())
+        for w, h in enumerate(out):
+            h[i] = both >> (64 * w) & (2**64 - 1)
+    return out
 
 
 def _cut(data, ends, lo, hi):
@@ -107,26 +114,76 @@ def _cut(data, ends, lo, hi):
     return text_end
 
 
-def window_hashes(words: np.ndarray, counts: np.ndarray, size: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of all windows of ``size`` words inside each text.
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, or up to 8 more than the prime."""
+    return (x & PRIME) + (x >> np.uint64(61))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def times(x: np.ndarray, factor: int) -> np.ndarray:
+    """``x * factor`` modulo the prime in 64-bit arithmetic, folded; ``x`` is folded, ``factor`` below the prime."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a, b = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    xh, xl = x >> half, x & low
+    mid = xh * b + xl * a
+    return _folded(((xh * a) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half) + xl * b)
+
+
+def _rolled(words: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Rabin-Karp hashes of all runs of ``size`` words, block by block."""
+    n = max(len(words) - size + 1, 0)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, BLOCK):
+        hi = min(lo + BLOCK, n)
+        out[lo:hi] = _reduced(_doubled(words[lo : hi + size - 1], size, base))
+    return out
+
+
+def _doubled(words: np.ndarray, size: int, base: int) -> np.ndarray:
+    """The same for one block, folded: a run is put together from two of half its length."""
+    if size == 1:
+        return _folded(words)
+    k = size // 2
+    half = _doubled(words, k, base)
+    n = len(words) - 2 * k + 1
+    out = _folded(times(half[:n], pow(base, k, int(PRIME))) + half[k : k + n])
+    if size % 2:
+        n -= 1
+        out = _folded(times(out[:n], base) + _folded(words[size - 1 : size - 1 + n]))
+    return out
+
+
+def window_hashes(words: list[np.ndarray], counts: np.ndarray, size: int, whole: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of all windows of ``size`` words inside each text, one array for each hash of the words.
 
     Returns the hashes, each window's first word (its place among ``words``) and the
-    windows of each text. The rolling hash is read off prefix sums modulo 2**64, then
-    mixed. ``whole``: a text of fewer words, but at least one, is one window.
+    windows of each text. ``whole``: a text of fewer words, but at least one, is one window.
     """
     n = np.maximum(counts - size + 1, 0)
-    length = np.full(len(counts), size)
-    if whole:
-        short = (counts > 0) & (counts < size)
-        n = np.where(short, 1, n)
-        length = np.where(short, counts, size)
-    starts = np.repeat(np.cumsum(counts) - counts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    stops = starts + np.repeat(length, n)
-    up, down = _WORDS.get(len(words))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up, out=total[1:])
-    rolled = (total[stops] - total[starts]) * down[starts] if len(starts) else np.zeros(0, np.uint64)
-    return mix(rolled ^ mix((stops - starts).astype(np.uint64))), starts, n
+    begin = np.cumsum(counts) - counts
+    short = np.flatnonzero((counts > 0) & (counts < size)) if whole else np.zeros(0, np.int64)
+    n[short] = 1
+    starts = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    place = (np.cumsum(n) - n)[short]
+    out = []
+    for w, h in enumerate(words):
+        rolled = _rolled(h, size, BASES[w])
+        got = rolled[np.minimum(starts, max(len(rolled) - 1, 0))] if len(rolled) else np.zeros(len(starts), np.uint64)
+        length = np.full(len(got), size, np.uint64)
+        if len(short):
+            some = _folded(h[begin[short]])
+            for k in range(1, size - 1):
+                more = counts[short] > k
+                some[more] = _folded(times(some[more], BASES[w]) + _folded(h[begin[short][more] + k]))
+            some = _reduced(some)
+            got[place], length[place] = some, counts[short].astype(np.uint64)
+        out.append(mix(got ^ mix(length)))
+    return out, starts, n
 
 
 def give_back() -> None:

@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from landmesh.llm import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk, warc
@@ -120,9 +122,15 @@ def test_histogram(docs, nothing):
     assert tokens.length_histogram(tokens.token_counts(nothing)).collect() == []
 
 
+def tie(text):
+    """Spark's xxhash64 of a string: the order of rows that share an id."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def naive_cut(rows, size):
     seen, out = {}, {}
-    for k, (i, text, *_) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))):
+    for k, (i, text, *_) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, tie(x[1])))):
         w = split(text)
         gone = [False] * len(w)
         for s in range(len(w) - size + 1):
@@ -134,21 +142,69 @@ def naive_cut(rows, size):
     return {i: sorted(v) for i, v in out.items()}
 
 
-def test_substrings(docs, nothing):
+def cut_of(rows, words="n_words", removed="n_removed"):
     got = {}
-    for r in substrings.drop_repeats(docs, 20).collect():
-        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.text or ""))
-        assert r.component_id == "clash"
-    assert {i: sorted(v) for i, v in got.items()} == naive_cut(ROWS, 20)
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r[words], r[removed], " ".join(split(r.text))))
+    return {i: sorted(v) for i, v in got.items()}
+
+
+def test_substrings(docs, nothing):
+    rows = substrings.drop_repeats(docs, 20).collect()
+    assert cut_of(rows, "repeats_n_words") == naive_cut(ROWS, 20)
+    assert all(r.component_id == "clash" and r.n_words == "clash" for r in rows)
+    texts = {i: t for i, t, *_ in ROWS if i != 5}
+    assert all(r.text == texts[r.doc_id] for r in rows if r.n_removed == 0 and r.doc_id != 5)
+    assert substrings.drop_repeats(docs, 20, counts=None).columns == docs.columns
     assert substrings.drop_repeats(nothing).collect() == []
 
 
 def test_substrings_random(spark):
     rows = [(i, words(random.Random(i).randint(0, 60), i % 40), "en", "a", 1) for i in range(150)]
     rows += [(200 + i, words(30, 77) + " " + words(20, i) + " " + words(30, 78), "en", "a", 1) for i in range(40)]
+    rows += [(None, words(40, i % 45), "en", "a", 1) for i in range(60)] + [(7, words(40, 50 + i % 10), "en", "a", 1) for i in range(20)]
     df = docs_of(spark, rows).repartition(5)
-    got = {r.doc_id: [(r.n_words, r.n_removed, r.text)] for r in substrings.drop_repeats(df, 8, chunk_bytes=500).collect()}
-    assert got == naive_cut(rows, 8)
+    assert cut_of(substrings.drop_repeats(df, 8, chunk_bytes=500).collect()) == naive_cut(rows, 8)
+
+
+def test_substrings_keep_all_other_text(spark):
+    assert substrings.without("a\n\nb  c d\te", np.array([0, 1, 1, 0, 0], bool)) == "a d\te"
+    assert substrings.without(" a b\nc", np.array([1, 1, 0], bool)) == "c"
+    assert substrings.without("a b\nc\n", np.array([0, 0, 1], bool)) == "a b\n"
+    first, last = words(25, 1), words(25, 2)
+    rows = [(1, first + "\n\n" + last, "en", "a", 1), (2, "x\n\n  y\n" + first + "\n\tz é\n", "en", "a", 1), (3, " \n q \n", "en", "a", 1)]
+    got = {r.doc_id: r.text for r in substrings.drop_repeats(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "x\n\n  y\n\tz é\n", 3: " \n q \n"}
+
+
+def thue_morse(n):
+    """Two different words of n bytes that hash alike under any polynomial modulo 2**64, for n of 1024 and more."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 1024, 2048, 4096, 8192])
+def test_long_words_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    head, tail = words(19, 1), " a b c d"
+    rows = [(1, f"{head} {x}", "en", "a", 1), (2, f"{head} {y}", "en", "a", 1), (3, x + tail, "en", "a", 1), (4, y + tail, "en", "a", 1), (5, x, "en", "a", 1), (6, y, "en", "a", 1)]
+    df = docs_of(spark, rows)
+    assert cut_of(substrings.drop_repeats(df).collect()) == naive_cut(rows, 20)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == naive_components(rows)
+
+
+def test_sequences_of_two_words_are_told_apart():
+    """Windows that are Thue-Morse sequences of words have different hashes, one and the other."""
+    from landmesh.llm.words import buffers, window_hashes, word_hashes
+
+    a, b = thue_morse(1024)
+    texts = [" ".join(a), " ".join(b)]
+    hashes, counts = word_hashes(*buffers(pa.array(texts)), ways=2)
+    for size in (1, 2, 16, 20, 1024):
+        got, starts, _ = window_hashes(hashes, counts, size)
+        flat = [t for x in texts for t in x.split()]
+        true = {tuple(flat[i : i + size]) for i in starts}
+        assert len({int(x) for x in got[0]}) == len(true) == len({int(x) for x in got[1]})
 
 
 def naive_components(rows):

@@ -10,7 +10,7 @@ import corpus_pipeline as P
 from landmesh.llm import cotraining, mixing, tokens
 from landmesh.llm.store import materialize
 
-from .test_edges import docs_of, naive_components, naive_cut, words
+from .test_edges import docs_of, naive_components, naive_cut, split, words
 
 DIR = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_stage_names_and_order():
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_stages(spark):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("size", F.lit("clash"))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("size", F.lit("clash")).withColumn("n_words", F.lit("mine"))
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     good = materialize(P.quality(spark, docs, DIR), "t")
     assert good.columns == docs.columns
@@ -40,8 +40,10 @@ def test_stages(spark):
     cut = materialize(P.repeats(spark, one, DIR), "t")
     want = naive_cut([row_of(r) for r in one.collect()], 20)
     assert cut.columns == docs.columns
-    assert {r.doc_id: r.text for r in cut.collect()} == {i: v[0][2] for i, v in want.items()}
-    assert cut.where("n_chars <> length(text)").count() == 0
+    assert {r.doc_id: " ".join(split(r.text)) for r in cut.collect()} == {i: v[0][2] for i, v in want.items()}
+    before = {r.doc_id: r.text for r in one.collect()}
+    assert all(r.text == before[r.doc_id] for r in cut.collect() if not want[r.doc_id][0][1])
+    assert cut.where("n_chars <> length(text) OR n_words <> 'mine' OR size <> 'clash'").count() == 0
 
     mixed = materialize(P.mixture(spark, cut, DIR), "t")
     copies = {r.doc_id: r.copies for r in mixing.mix(cut).collect()}
@@ -63,3 +65,13 @@ def test_repeated_rows_and_nulls_pass_through(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == [(False, 1), (False, 3), (True, 0)]
     assert P.repeats(spark, one, "").count() == 3
     assert {r.doc_id for r in P.packed(spark, P.mixture(spark, df, ""), "").collect()} <= {1, 2, 3, None}
+
+
+def test_empty_table_passes_through(spark):
+    df = docs_of(spark, [], extra=True)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    docs = cotraining.keep_good(df, labels)
+    for _, stage in P.STAGES[1:-1]:
+        docs = materialize(stage(spark, docs, ""), "t")
+        assert docs.columns == df.columns and docs.count() == 0
+    assert P.packed(spark, docs, "").collect() == []
