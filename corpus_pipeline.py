@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 20-word windows that stand earlier in the corpus; n_chars follows."""
-    cut = substrings.drop_repeats(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Texts without the 20-word windows that stand earlier in the corpus; n_chars follows, all else stays."""
+    cut = substrings.drop_repeats(docs, counts=None)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
