@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 
@@ -26,3 +28,18 @@ def write_whole(folder: str, name: str, data: bytes) -> str:
             f.write(data)
         store.move(part, f"{path}/{name}")
     return f"{folder}/{name}"
+
+
+@contextmanager
+def open_whole(path: str) -> Iterator[tuple]:
+    """A file of the shared folder for reading at any place, and its length."""
+    at = urlparse(path)
+    if at.scheme in ("", "file"):
+        with open(at.path, "rb") as f:
+            yield f, os.fstat(f.fileno()).st_size
+    else:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_file(name) as f:
+            yield f, f.size()

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -417,6 +418,91 @@ def test_salvage(gzip):
     assert [x["record_id"] for x in warc.salvage(lost) if "record_id" in x] == [f"urn:page:{i}" for i in range(30) if i not in (4, 5)]
 
 
+def plain(i, body, digest=None, more="", kind="response"):
+    """A record as other writers make it: base 32 digests, folded lines, any algorithm."""
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    said = f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\n{said}{more}Content-Type: application/http;\r\n msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def found(rows):
+    return [r["record_id"] for r in rows if "record_id" in r]
+
+
+def test_digests_and_headers_of_other_writers():
+    body = b"<html>" * 50
+    b32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    for digest, good in [(f"sha1:{b32}", True), (f"SHA1:{b32.lower()}", True), ("sha256:" + hashlib.sha256(body).hexdigest(), True), ("blake9:zzz", True), ("sha1:short", False), (None, True), ("sha1:" + "A" * 32, False), ("md5:" + "0" * 32, False)]:
+        rows = list(warc.salvage(plain(1, body, digest)))
+        assert bool(found(rows)) == good, digest
+        if good:
+            assert rows[0]["payload"] == body and rows[0]["payload_digest"] == hashlib.sha1(body).hexdigest()
+    far = "WARC-Target-URI: http://a/" + "x" * (2 << 20) + "\r\n"
+    assert found(warc.salvage(plain(1, body, None, far))) == ["urn:page:1"]
+    revisit = list(warc.salvage(plain(2, b"", f"sha1:{b32}", kind="revisit")))
+    assert revisit[0]["payload_digest"] == hashlib.sha1(body).hexdigest()
+
+
+@pytest.mark.parametrize("hold", [0, 1 << 20])
+def test_records_inside_damaged_members(monkeypatch, hold):
+    monkeypatch.setattr(warc, "HOLD", hold)
+    r = random.Random(4)
+    body = lambda i: bytes(random.Random(i).randrange(256) for _ in range(r.randint(50, 300)))
+    one = [plain(i, b, "sha1:" + hashlib.sha1(b).hexdigest()) for i, b in ((i, body(i)) for i in range(50))]
+    bad = one[20].replace(b"sha1:", b"sha1:00", 1).replace(one[20].split(b"sha1:")[1][:2], b"", 0)
+    bad = re.sub(rb"sha1:00(.{38})..", rb"sha1:00\1", bad)
+    whole = warc.member(b"".join(one[:20] + [bad] + one[21:]))
+    rows = list(warc.salvage(whole + warc.member(one[0]), "p"))
+    assert found(rows) == [f"urn:page:{i}" for i in range(50) if i != 20] + ["urn:page:0"]
+    gap = [x for x in rows if "problem" in x]
+    assert [(g["start"], g["stop"]) for g in gap] == [(0, len(whole))] and gap[0]["inner_start"] == sum(map(len, one[:20])) and "digest" in gap[0]["problem"]
+    good = warc.member(b"".join(one))
+    cut = list(warc.salvage(good[:-300], "p"))
+    assert 40 < len(found(cut)) < 50 and cut[-1]["problem"] == "gzip: truncated member"
+    crc = bytearray(good)
+    crc[-6] ^= 1
+    rows = list(warc.salvage(bytes(crc) + warc.member(one[3])))
+    assert found(rows) == [f"urn:page:{i}" for i in range(50)] + ["urn:page:3"]
+    nameless = warc.member(b"".join(plain(i, body(i)) for i in range(30)))
+    crc = bytearray(nameless)
+    crc[-6] ^= 1
+    assert found(warc.salvage(bytes(crc))) == [] and len(found(warc.salvage(nameless[:-200]))) > 10
+
+
+def test_archives_are_streamed(tmp_path):
+    bodies = [random.Random(i).randbytes(200_000) for i in range(120)]
+    path = tmp_path / "one.warc.gz"
+    path.write_bytes(b"junk" + warc.member(b"".join(plain(i, b) for i, b in enumerate(bodies)), 1))
+    with open(path, "rb") as f:
+        rows = list(warc.salvage(f, "p", path.stat().st_size))
+    assert [r["payload"] for r in rows if "payload" in r] == bodies and rows[-1]["stop"] == 4
+
+
+def test_query_salvages_damaged_archives(spark, monkeypatch, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://{i}", f"page {i} " * (i + 1)) for i in range(200)] + [(7, "http://7", "page 7 " * 8), (None, "u", "none"), (500, "u", "big " * 200_000)], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    write = warc.write
+    assert warc.query(spark, str(tmp_path)).count() == 203
+
+    def hurt(pages, folder):
+        out = write(pages.repartition(1), folder)
+        path = out.first().path.removeprefix("file://")
+        data = bytearray(open(path, "rb").read())
+        data[len(data) // 2 : len(data) // 2 + 40] = b"x" * 40
+        open(path, "wb").write(bytes(data))
+        open(path.replace("part-", "part-stale-"), "wb").write(bytes(data))
+        return out
+
+    logs = []
+    place = warc.new_path
+    monkeypatch.setattr(warc, "new_path", lambda s, n: logs.append(place(s, n)) or logs[-1])
+    monkeypatch.setattr(warc, "write", hurt)
+    assert 195 <= warc.query(spark, str(tmp_path)).count() < 203
+    log = spark.read.json([x for x in logs if "gaps" in x][0])
+    assert log.count() >= 1 and log.where("stop <= start").count() == 0
+
+
 def test_sharded_table(docs, nothing, spark):
     root = new_path(spark, "table")
     t = arrive(docs, root, arrivals=5, target_bytes=1 << 20, base_bytes=1 << 10, fanout=2)
