@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,8 @@ class Encoder:
     between two other characters, and such a space belongs to what follows it.
     A text is therefore the chain of its space-separated words, each encoded once
     and then looked up. Texts in which a space touches other white space are
-    encoded whole. Special tokens' strings count as ordinary text.
+    encoded whole. Strings of the file's added tokens get their ids wherever they stand,
+    and what lies between them is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -40,13 +43,15 @@ class Encoder:
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            told = json.load(f)
+        model = told["model"]
         byte_of = _byte_alphabet()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token)}
-        special = {b"<|endoftext|>"}
-        ranks = {k: v for k, v in ranks.items() if k not in special}
+        self.added = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
+        ranks = {k: v for k, v in ranks.items() if k not in {t.encode() for t in self.added}}
         self.bpe = tiktoken.Encoding("landmesh", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kind = np.uint16 if max(ranks.values()) < 2**16 else np.uint32
+        self.kind = np.uint16 if max(*ranks.values(), *self.added.values(), 0) < 2**16 else np.uint32
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
@@ -64,6 +69,11 @@ class Encoder:
         """Ids of one text (null: none)."""
         if not text:
             return np.zeros(0, self.kind)
+        if self.cut and self.cut.search(text):
+            return np.concatenate([np.array([self.added[x]], self.kind) if x in self.added else self._plain(x) for x in self.cut.split(text) if x])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         head, *rest = text.split(" ")
         if not head or head[-1].isspace():
             return np.frombuffer(self._whole(text), self.kind)
@@ -91,7 +101,12 @@ def encoder(name: str) -> Encoder:
 
 
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """One row per document: ``length``, its number of tokens (null or empty text: 0)."""
+    """One row per document: ``length``, its number of tokens (null or empty text: 0).
+
+    Whole texts of any length are encoded, one after the other; repeated rows count each.
+    Only ``text`` is read, so columns of any name may stand beside it. No documents give
+    no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -125,20 +140,33 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents it cuts and the tokens it leaves, read off the histogram."""
-    cut = [F.sum(F.when(F.col("length") > m, F.col("n_docs")).otherwise(0)).alias(f"d{m}") for m in limits]
-    left = [F.sum(F.least("length", F.lit(m)) * F.col("n_docs")).alias(f"t{m}") for m in limits]
-    one = hist.agg(*cut, *left)
-    rows = F.array(*[F.struct(F.lit(m).cast("bigint").alias("context"), F.coalesce(F.col(f"d{m}"), F.lit(0)).alias("docs_cut"), F.coalesce(F.col(f"t{m}"), F.lit(0)).alias("tokens_kept")) for m in limits])
-    return one.select(F.inline(rows))
+    """For each context limit: documents it cuts and the tokens it leaves.
+
+    Both are read off the suffix sums of one row, that of the smallest length over the
+    limit: the documents from there on are cut, and what they lack is their tokens less
+    the limit for each. A limit that no document exceeds cuts none. An empty histogram
+    gives zeros.
+    """
+    over = [F.min(F.when(F.col("length") > m, F.struct("length", "docs_at_least", "tokens_at_least"))).alias(f"o{i}") for i, m in enumerate(limits)]
+    one = hist.agg(F.max("tokens_at_least").alias("_all"), *over)
+    zero = F.lit(0).cast("bigint")
+
+    def row(i: int, m: int):
+        docs, tokens = (F.coalesce(F.col(f"o{i}.{c}"), zero) for c in ("docs_at_least", "tokens_at_least"))
+        return F.struct(F.lit(m).cast("bigint").alias("context"), docs.alias("docs_cut"), (F.coalesce("_all", zero) - tokens + m * docs).alias("tokens_kept"))
+
+    return one.select(F.inline(F.array(*[row(i, m) for i, m in enumerate(limits)])))
 
 
 def length_quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """The smallest length that at least the given share of documents doesn't exceed."""
-    total = hist.agg(F.sum("n_docs").alias("_all"))
-    upto = hist.crossJoin(F.broadcast(total)).withColumn("_le", F.col("_all") - F.col("docs_at_least") + F.col("n_docs"))
-    one = upto.agg(*[F.min(F.when(F.col("_le") >= F.ceil(F.lit(s) * F.col("_all")), F.col("length"))).alias(f"q{i}") for i, s in enumerate(shares)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"q{i}").alias("length")) for i, s in enumerate(shares)])))
+    """The smallest length that at least the given share of documents doesn't exceed (null if there are none).
+
+    That is the largest length that more than the rest of the documents reach, by the
+    suffix sums.
+    """
+    total = hist.agg(F.max("docs_at_least")).first()[0] or 0
+    found = [F.max(F.when(F.col("docs_at_least") > total - max(1, math.ceil(s * total)), F.col("length"))).alias(f"q{i}") for i, s in enumerate(shares)]
+    return hist.agg(*found).select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"q{i}").alias("length")) for i, s in enumerate(shares)])))
 
 
 def query(spark, sf_dir):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -81,18 +82,37 @@ def test_packing(docs, nothing):
     assert packing.digest(nothing).collect() == []
 
 
-def test_encoder_equals_tokenizers():
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    enc = tokens.encoder("byte_bpe_50k")
-    texts = [x[1] or "" for x in ROWS] + ["a  b", " a", "a ", "x\n y", "don't 12 34!? <|endoftext|> 　q 　", "\n\n", "日本 語\ttab", "a b  c d"]
-    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ODD = ["a  b", " a", "a ", "x\n y", "don't 12 34!? <|endoftext|> 　q 　", "\n\n", "日本 語\ttab", "a b  c d", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext", "a <|endoftext|> b"]
+
+
+def test_encoder_equals_tokenizers():
+    enc, texts = tokens.encoder("byte_bpe_50k"), [x[1] or "" for x in ROWS] + ODD
+    for text, want in zip(texts, tokenizer().encode_batch(texts, add_special_tokens=False), strict=True):
         assert enc.encode(text).tolist() == want.ids
 
 
+def test_pieces_equal_tokenizers(spark):
+    """Starts, lengths and checksums of all pieces, from the tokenizer's own ids."""
+    texts = dict(enumerate([None, "", LONG, words(1023, 5), words(900, 6), *ODD]))
+    rows = packing.digest(docs_of(spark, [(i, t, "en", "a", 1) for i, t in texts.items()]).repartition(3)).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
+    want = {}
+    for i, text in texts.items():
+        ids = tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
+        head = len(ids) % 1024 or 1024
+        for k, a in enumerate([0, *range(head, len(ids), 1024)]):
+            part = ids[a : head if k == 0 else a + 1024]
+            want[i, k] = (a, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert got == want
+
+
 def test_plan_is_best_fit_decreasing():
     r = random.Random(5)
     for cap in (10, 64):
@@ -116,10 +136,12 @@ def test_histogram(docs, nothing):
     for length, r in h.iterrows():
         assert r.docs_at_least == (n >= length).sum() and r.tokens_at_least == n[n >= length].sum() and r.truncated_total == np.minimum(n, length).sum()
     hist = tokens.length_histogram(tokens.token_counts(docs))
-    for r in tokens.truncated_totals(hist, [1, 100, 10**6]).collect():
+    assert tokens.truncated_totals(tokens.length_histogram(tokens.token_counts(nothing)), [5]).collect()[0].tokens_kept == 0
+    assert tokens.length_quantiles(tokens.length_histogram(tokens.token_counts(nothing)), [0.5]).collect()[0].length is None
+    for r in tokens.truncated_totals(hist, [0, 1, 99, 100, 10**6, *map(int, n)]).collect():
         assert (r.docs_cut, r.tokens_kept) == ((n > r.context).sum(), np.minimum(n, r.context).sum())
-    for r in tokens.length_quantiles(hist, [0.5, 1.0]).collect():
-        assert r.length == sorted(n)[int(np.ceil(r.share * len(n))) - 1]
+    for r in tokens.length_quantiles(hist, [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert r.length == sorted(n)[max(1, int(np.ceil(r.share * len(n)))) - 1]
     assert tokens.length_histogram(tokens.token_counts(nothing)).collect() == []
 
 
