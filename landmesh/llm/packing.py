@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import ranked
-from .store import materialize
+from .store import materialize, new_path
 from .tokens import encoder
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -42,82 +41,228 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Best-fit decreasing over runs of equal pieces and runs of equal gaps.
+def sweep(events: list[tuple]) -> tuple[list[tuple], list[tuple], list[list]]:
+    """Match items with slots in one pass from the largest size to the smallest.
 
-    ``counts``: pieces by length. One superstep per length, longest first: the sorted
-    gaps are swept from the smallest that fits; the pieces of ranks lo to hi take the
-    sequences of that gap in order; what is left opens new sequences. Returns segments
-    (length, lo, hi, first sequence, offset) and the number of sequences. Its size
-    depends on ``capacity`` alone, not on the number of pieces.
+    ``events`` are runs in falling order of size, slots before items: (size, 0, run, a, b)
+    for the slots a to b of a run of gaps, (size, 1, rank, n) for n equal items. The last
+    slot met that is still free is the smallest that fits: the item's successor. Equal
+    items meet equal slots by rank. Returns matches (size, rank, n, run, slot), items
+    that found none, and the slots left, each run's in order.
     """
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    segments, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                # What fits into one new sequence goes there: pieces of this length fill it side by side.
-                per = capacity // length
-                n = left // per
-                for k in range(per if n else 0):
-                    segments.append((length, rank, rank + n, opened, k * length))
-                    rank += n
-                if n:
-                    put(capacity - per * length, opened, n)
-                    opened += n
-                left -= n * per
-                if left:
-                    for k in range(left):
-                        segments.append((length, rank + k, rank + k + 1, opened, k * length))
-                    put(capacity - left * length, opened, 1)
-                    opened, left = opened + 1, 0
+    matches, unmatched, free = [], [], []
+    for size, kind, first, *rest in events:
+        if kind == 0:
+            free.append([size, first, *rest])
+            continue
+        rank, n = first, rest[0]
+        while n and free:
+            top = free[-1]
+            take = min(n, top[3] - top[2])
+            if take:
+                matches.append((size, rank, take, top[1], top[2]))
+                rank, n, top[2] = rank + take, n - take, top[2] + take
+            if top[2] == top[3]:
+                free.pop()
+        if n:
+            unmatched.append((size, rank, n))
+    return matches, unmatched, free
+
+
+def filled(first: int, n: int, gap: int, q: int, capacity: int, matches: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """What a run of ``n`` sequences with equal gaps becomes when items take some of their slots.
+
+    Sequence k of the run has the slots k * q to k * q + q - 1. ``matches`` are (slot, n,
+    size, rank), in order of slots. Returns new runs (gap, first, n) and segments (size,
+    rank, n, sequence, per, offset): the i-th item of a segment stands in sequence
+    + i // per, and i % per items behind the offset.
+    """
+    used, runs, segments = capacity - gap, [], []
+    at = 0  # the first sequence that is not settled
+    mixed: list[tuple] = []  # what stands in the sequence ``at`` by now
+
+    def settle(upto: int) -> None:
+        nonlocal at, mixed
+        if mixed:
+            offset = used
+            for size, rank, count in mixed:
+                segments.append((size, rank, count, first + at, count, offset))
+                offset += size * count
+            runs.append((capacity - offset, first + at, 1))
+            at, mixed = at + 1, []
+        if upto > at:
+            runs.append((gap, first + at, upto - at))
+            at = upto
+
+    for slot, count, size, rank in matches:
+        settle(slot // q) if slot // q > at else None
+        while count:
+            if slot % q == 0 and count >= q:
+                if mixed:
+                    settle(at)
+                whole = count // q
+                segments.append((size, rank, whole * q, first + at, q, used))
+                runs.append((gap - q * size, first + at, whole))
+                at, slot, count, rank = at + whole, slot + whole * q, count - whole * q, rank + whole * q
                 continue
-            gap = gaps[at]
-            first, n = runs[gap].pop()
-            if not runs[gap]:
-                del runs[gap]
-                gaps.pop(at)
-            take = min(n, left)
-            segments.append((length, rank, rank + take, first, capacity - gap))
-            put(gap - length, first, take)
-            put(gap, first + take, n - take)
-            rank, left = rank + take, left - take
-    return segments, opened
+            take = min(count, q - slot % q)
+            mixed.append((size, rank, take))
+            slot, count, rank = slot + take, count - take, rank + take
+            if slot % q == 0:
+                settle(at)
+    settle(n)
+    return [r for r in runs if r[0] and r[2]], segments
+
+
+GAP, ITEM, MATCH, SEGMENT, NEXT = range(5)
+_STATE = ("kind", "size", "first", "n", "run", "slot", "per", "offset")
+_STATE_DDL = "kind int, size int, first bigint, n bigint, run bigint, slot bigint, per int, offset int"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(_STATE))
+
+
+def _slots(gap: int, hi: int) -> int:
+    """Slots of a gap for items up to ``hi``: as many as fit whatever their lengths, and one at least."""
+    return max(1, gap // hi)
+
+
+def _events(rows: list[tuple], lo: int, hi: int) -> list[tuple]:
+    """Runs of slots and of the class's items as ``sweep`` takes them; a gap run's slots already taken are left out."""
+    out = []
+    for kind, size, first, n, _, slot, *_ in rows:
+        if kind == GAP and size > lo:
+            q = _slots(size, hi)
+            if slot < n * q:
+                out.append((size // q, 0, first, slot, n * q))
+        elif kind == ITEM and lo < size <= hi:
+            out.append((size, 1, first, n))
+    return sorted(out, key=lambda e: (-e[0], *e[1:]))
+
+
+def _tuples(table: pa.Table) -> list[tuple]:
+    return list(zip(*[table[c].to_pylist() for c in _STATE], strict=True))
+
+
+def _local(lo: int, hi: int):
+    """The sweep within a range of sizes; gaps say how many of their slots are taken."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _tuples(table)
+        matches, left, _ = sweep(_events(rows, lo, hi))
+        taken: dict[int, int] = {}
+        for _, _, n, first, slot in matches:
+            taken[first] = max(taken.get(first, 0), slot + n)
+        out = [(*r[:5], taken.get(r[2], 0), *r[6:]) if r[0] == GAP else r for r in rows if not (r[0] == ITEM and lo < r[1] <= hi)]
+        out += [(ITEM, size, rank, n, None, 0, None, None) for size, rank, n in left]
+        return _rows(out + [(MATCH, size, rank, n, first, slot, None, None) for size, rank, n, first, slot in matches])
+
+    return run
+
+
+def _global(lo: int, hi: int, capacity: int, turn: int, patience: int):
+    """The sweep over what the ranges left, then the update of gaps, and new sequences if too little was matched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in _tuples(pa.Table.from_batches([b]))]
+        matches, left, _ = sweep(_events(rows, lo, hi))
+        matches += [(size, first, n, run_, slot) for kind, size, first, n, run_, slot, *_ in rows if kind == MATCH]
+        of: dict[int, list] = {}
+        for size, rank, n, first, slot in matches:
+            of.setdefault(first, []).append((slot, n, size, rank))
+        out, place = [], 0
+        for kind, size, first, n, *rest in rows:
+            if kind == GAP and first in of:
+                runs, segments = filled(first, n, size, _slots(size, hi), capacity, sorted(of[first]))
+                out += [(GAP, gap, at, k, None, 0, None, None) for gap, at, k in runs]
+                out += [(SEGMENT, *x[:3], x[3], None, x[4], x[5]) for x in segments]
+            elif kind == NEXT:
+                place = first
+            elif kind == GAP or (kind == ITEM and not lo < size <= hi):
+                out.append((kind, size, first, n, None, 0, None, None))
+        out += [(ITEM, size, rank, n, None, 0, None, None) for size, rank, n in left]
+        some, rest = sum(m[2] for m in matches), sum(n for _, _, n in left)
+        if rest and (10 * some <= some + rest or turn >= patience):
+            fresh = -(-sum(size * n for size, _, n in left) // capacity)
+            out.append((GAP, capacity, place, fresh, None, 0, None, None))
+            place += fresh
+        out.append((NEXT, None, place, None, None, None, None, None))
+        yield from _rows(out).to_batches()
+
+    return run
+
+
+def supersteps(items: DataFrame, capacity: int, patience: int = 5, ranges: int = 4) -> list[str]:
+    """Place runs of equal items (length, n) by rounds; returns the folders whose SEGMENT rows say where.
+
+    Lengths go by halving classes, longest first. A superstep range-sorts the class's
+    items and the slots of all gaps that could take one, sweeps each range for
+    successors, sweeps what the ranges left, and updates the gaps. It repeats until the
+    class is placed; items that find no gap open sequences when a superstep places less
+    than a tenth of them, or after ``patience`` supersteps. Items of a length and
+    sequences of a gap stand as runs, so a state has some thousand rows, bounded by the
+    capacity, however many documents there are.
+    """
+    spark = items.sparkSession
+    kind = lambda k: F.lit(k).alias("kind")
+    nil = [F.lit(None).cast(t).alias(c) for c, t in (("run", "bigint"), ("slot", "bigint"), ("per", "int"), ("offset", "int"))]
+    state = items.select(kind(ITEM), F.col("length").cast("int").alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *nil)
+    state = state.unionByName(spark.range(1).select(kind(NEXT), F.lit(None).cast("int").alias("size"), F.col("id").alias("first"), F.lit(None).cast("bigint").alias("n"), *nil))
+    paths, before, turn = [], None, 0
+    while True:
+        longest = state.where(F.col("kind") == ITEM).agg(F.max("size")).first()[0]
+        if longest is None:
+            return paths
+        hi = capacity
+        while hi // 2 >= longest:
+            hi //= 2
+        turn = turn + 1 if hi == before else 1
+        before, lo = hi, hi // 2
+        # Slots of a gap are at least as long as the longest item of the class, or the gap itself.
+        q = F.greatest(F.lit(1), F.floor(F.col("size") / hi))
+        size = F.when(F.col("kind") == GAP, F.floor(F.col("size") / q)).otherwise(F.coalesce("size", F.lit(0)))
+        block = F.floor(size * ranges / (2 * hi)).cast("int").alias("block")
+        swept = state.where(F.col("kind") != SEGMENT).groupBy(block).applyInArrow(_local(lo, hi), _STATE_DDL)
+        path = new_path(spark, "superstep")
+        swept.coalesce(1).mapInArrow(_global(lo, hi, capacity, turn, patience), _STATE_DDL).write.parquet(path)
+        paths.append(path)
+        state = spark.read.schema(_STATE_DDL).parquet(path)
+
+
+#: Ranks that a row of the join between pieces and segments spans at most.
+SPAN = 1 << 16
 
 
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` of 1 to ``capacity``.
 
-    Pieces are range-sorted by length and numbered within it; the sweep over their
-    length histogram says which ranks go where; a join by length and rank places
-    each piece. Pieces of a length are interchangeable, so conflicts between them are
-    resolved by rank alone. An empty input gives an empty result.
+    Pieces are range-sorted by length and numbered within it; ``supersteps`` match them
+    with gaps. Pieces of a length are interchangeable, so conflicts between them are
+    resolved by rank alone: an equi-join on the length and blocks of ranks tells each
+    its place. Repeated rows are packed each. An empty input gives an empty result; a
+    length out of bounds raises ValueError.
     """
     spark = cut.sparkSession
     order = [F.col(c) for c in ("doc_id", "piece") if c in cut.columns]
     placed = ranked(cut, ["length"], order, "_rank")
-    counts = {r.length: r.n for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not 0 < x <= capacity for x in counts):
+    items = materialize(placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    least, most = items.agg(F.min("length"), F.max("length")).first()
+    if least is None:
+        return cut.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))
+    if not 0 < least <= most <= capacity:
         raise ValueError("lengths must be from 1 to the capacity")
-    segments, _ = plan(counts, capacity)
-    table = spark.createDataFrame(segments, "_l bigint, _lo bigint, _hi bigint, _seq bigint, _off bigint")
-    # A segment takes some 50 bytes; their number is bounded by the capacity, and checked here.
-    table = F.broadcast(table) if len(segments) <= 200_000 else table
-    fits = (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    joined = placed.join(table, fits)
-    joined = joined.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo")).withColumn("offset", F.col("_off"))
-    return joined.drop("_rank", "_l", "_lo", "_hi", "_seq", "_off")
+    segments = spark.read.schema(_STATE_DDL).parquet(*supersteps(items, capacity)).where(F.col("kind") == SEGMENT)
+    last = F.col("first") + F.col("n") - 1
+    spans = F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(last / SPAN)))
+    table = segments.select(F.col("size").cast("bigint").alias("_l"), F.col("first").alias("_lo"), last.alias("_hi"), F.col("run").alias("_seq"), F.col("per").alias("_per"), F.col("offset").alias("_off"), spans.alias("_b"))
+    rank = F.col("_rank")
+    joined = placed.join(table, (F.col("length") == F.col("_l")) & (F.floor(rank / SPAN) == F.col("_b")) & rank.between(F.col("_lo"), F.col("_hi")))
+    k = rank - F.col("_lo")
+    joined = joined.withColumn("sequence_id", F.col("_seq") + F.floor(k / F.col("_per"))).withColumn("offset", F.col("_off") + k % F.col("_per") * F.col("length"))
+    return joined.drop("_rank", "_l", "_lo", "_hi", "_seq", "_per", "_off", "_b")
 
 
 def query(spark, sf_dir):

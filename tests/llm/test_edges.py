@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -113,19 +114,53 @@ def test_pieces_equal_tokenizers(spark):
     assert got == want
 
 
-def test_plan_is_best_fit_decreasing():
+def test_sweep_matches_successors():
+    """Item by item, from the longest: each takes the smallest slot that is free and fits."""
     r = random.Random(5)
-    for cap in (10, 64):
-        items = [r.randint(1, cap) for _ in range(400)]
-        counts = {x: items.count(x) for x in set(items)}
-        segments, opened = packing.plan(counts, cap)
-        gaps = []
-        for x in sorted(items, reverse=True):
-            fit = [g for g in gaps if g >= x]
-            gaps.remove(min(fit)) if fit else None
-            gaps.append((min(fit) if fit else cap) - x)
-        assert opened == len(gaps)
-        assert sum(hi - lo for _, lo, hi, _, _ in segments) == len(items)
+    for _ in range(50):
+        slots = sorted({r.randint(1, 40): r.randint(1, 4) for _ in range(8)}.items(), reverse=True)
+        items = sorted({r.randint(1, 40): r.randint(1, 4) for _ in range(8)}.items(), reverse=True)
+        events = sorted([(s, 0, 100 * s, 0, n) for s, n in slots] + [(s, 1, 0, n) for s, n in items], key=lambda e: (-e[0], *e[1:]))
+        matches, left, _ = packing.sweep(events)
+        free, got, missed = [s for s, n in slots for _ in range(n)], [], []
+        for size, n in items:
+            for _ in range(n):
+                fit = [s for s in free if s >= size]
+                if fit:
+                    free.remove(min(fit))
+                    got.append((size, min(fit)))
+                else:
+                    missed.append(size)
+        assert sorted((m[0], m[3] // 100) for m in matches for _ in range(m[2])) == sorted(got)
+        assert sorted(x for x, _, n in left for _ in range(n)) == sorted(missed)
+
+
+def best_fit_decreasing(items, cap):
+    gaps = []
+    for x in sorted(items, reverse=True):
+        fit = [g for g in gaps if g >= x]
+        gaps.remove(min(fit)) if fit else None
+        gaps.append((min(fit) if fit else cap) - x)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "halves", "small", "equal", "one"])
+def test_supersteps_pack_well(spark, kind):
+    r, cap = random.Random(5), 64
+    items = {"mixed": [min(cap, 1 + int(r.expovariate(0.05))) for _ in range(1500)], "halves": [r.randint(16, 32) for _ in range(400)], "small": [r.randint(1, 5) for _ in range(900)], "equal": [21] * 300, "one": [cap]}[kind]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(items)], "doc_id bigint, piece int, length bigint").repartition(4)
+    rows = packing.pack(df, cap).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(range(len(items))) and all(items[r.doc_id] == r.length for r in rows)
+    by = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append(x)
+    for seq in by.values():
+        at = 0
+        for x in sorted(seq, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at <= cap
+    assert len(by) <= max(best_fit_decreasing(items, cap) * (1.15 if kind == "halves" else 1.01), -(-sum(items) // cap) + 1)
 
 
 def test_histogram(docs, nothing):
