@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Rows of a raster up to which the direct solver is tried (its work grows with rows * columns ** 3).
-DIRECT_SIDE = 1024
-
 
 def packed(cells: DataFrame, *values: str, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """One row per raster: the cells as arrays in row-major order."""
@@ -43,16 +40,15 @@ def _long(sid, shape, **maps) -> pd.DataFrame:
 def pairwise(cells: DataFrame) -> DataFrame:
     """Effective resistance of all focal pairs (-1: not connected), worst residual and seconds.
 
-    ``cells``: sid, r, c, resistance, valid, focal (0: none). A raster that cannot be
-    solved directly is left to conjugate gradients and says so.
+    ``cells``: sid, r, c, resistance, valid, focal (0: none). The kernel picks its method
+    by the raster's width; a raster on which that fails is left to conjugate gradients
+    of the other kind, and only then says so.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         res, valid, focal = _grid(pdf, "resistance", "valid", "focal")
         began, fallback = time.monotonic(), False
         try:
-            if min(res.shape) > DIRECT_SIDE:
-                raise np.linalg.LinAlgError("raster too wide for the direct solver")
             out = K.pairwise(res, valid, focal)
         except np.linalg.LinAlgError:
             out, fallback = _iterative(res, valid, focal), True

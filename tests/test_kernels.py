@@ -174,3 +174,44 @@ def test_tables(spark):
     cov = spark.createDataFrame([(10, 0.0, 0, 5000, 0.5, 0)], "landcover int, slope double, road_class int, road_distance int, ghm double, elevation int")
     one = {r.table_id: r.resistance for r in R.apply_tables(cov).collect()}
     assert one == {"generic_hm": 250.75, "large_mammal": 51.0, "amphibian": 2.0, "forest_bird": 1.0, "constant": 5.0}
+
+
+@pytest.mark.parametrize("four", [False, True])
+@pytest.mark.parametrize("shape", [(20, 31), (31, 20), (64, 64), (150, 97)])
+def test_multigrid_agrees_with_elimination(shape, four):
+    """Noise of contrast 1000 with holes, two held cells, two right-hand sides."""
+    rng = np.random.default_rng(3)
+    res, valid = 10 ** (3 * rng.random(shape)), K.labels(rng.random(shape) > 0.15, four) == 0
+    cells = np.argwhere(valid)
+    fixed, held, rhs = np.zeros(shape, bool), np.zeros(shape), np.zeros((2, *shape))
+    fixed[tuple(cells[5])] = fixed[tuple(cells[-5])] = True
+    held[tuple(cells[-5])] = 1
+    rhs[0][tuple(cells[50])] = rhs[1][tuple(cells[100])] = 1
+    cond = K.conductances(res, valid, four)
+    a, b = (K.Solver(cond, valid, fixed, m)(rhs, held) for m in ("direct", "multigrid"))
+    assert np.abs(a - b).max() < 1e-8 * np.abs(a).max()
+
+
+@pytest.mark.parametrize("contrast", [1e1, 1e6])
+def test_wide_rasters_are_solved_in_few_iterations(contrast):
+    rng = np.random.default_rng(1)
+    res = contrast ** K.gaussian_field((300, 260), 8, rng)
+    focal = np.zeros(res.shape, int)
+    focal[5, 5], focal[280, 100], focal[150, 250] = 1, 2, 3
+    out = K.pairwise(res, np.ones(res.shape, bool), focal)
+    assert out["residual"] < 1e-9 and out["reff"][0, 1] < out["reff"][0, 2] + out["reff"][2, 1] + 1e-9
+    cond = K.conductances(res, np.ones(res.shape, bool))
+    _, done = K.conjugate_gradient(cond, np.ones(res.shape, bool), (focal == 2).astype(float), focal == 1, (1e-6, 1e-10))
+    assert done[1e-6] <= done[1e-10] <= 60
+
+
+def test_field_is_longest_along_its_principal_axis():
+    """The correlation at a lag falls slower along the axis than across it, and the length is the principal one."""
+    for degrees, along, across in ((0, (0, 6), (6, 0)), (90, (6, 0), (0, 6))):
+        lag = {along: [], across: []}
+        for seed in range(12):
+            f = K.gaussian_field((96, 96), 6.0, np.random.default_rng(seed), 3.0, degrees)
+            z = (f - f.mean()) / f.std()
+            for (dr, dc), out in lag.items():
+                out.append((z * np.roll(z, (dr, dc), (0, 1))).mean())
+        assert np.mean(lag[along]) > 0.5 > 0.2 > np.mean(lag[across])
