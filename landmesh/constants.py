@@ -32,6 +32,21 @@ OVERHEAD = 0.15
 LADDER = {"S": 100000, "M": 50000, "L": 20000, "XL": 4000, "XXL": 400}
 GENERATOR_MIX = {"grf": 0.24, "fractal": 0.16, "random_cluster": 0.12, "planar_gradient": 0.04, "edge_gradient": 0.04, "distance_gradient": 0.08, "mosaic": 0.12, "hard": 0.20}
 HARD_MIX = {"high_contrast_1e5": 0.20, "high_contrast_1e6": 0.10, "rmax_saturated": 0.15, "narrow_corridor": 0.30, "large_nodata": 0.25}
+# Weights and ranges that synthetic landscapes are drawn from.
+PRIOR = {
+    "generator_weights": {"grf": 0.30, "fractal": 0.20, "random_cluster": 0.15, "planar_gradient": 0.05, "edge_gradient": 0.05, "distance_gradient": 0.10, "mosaic": 0.15},
+    "grf": {"length_scale": (2, 8, 32, 128), "anisotropy": (1.0, 4.0), "angle_deg": (0.0, 180.0)},
+    "fractal": {"roughness": (0.2, 0.5, 0.8)},
+    "random_cluster": {"p": (0.3, 0.58)},
+    "planar_gradient": {"direction_deg": (0.0, 360.0)},
+    "edge_gradient": {"direction_deg": (0.0, 360.0)},
+    "distance_gradient": {"n_sources": (1, 6)},
+    "mosaic": {"n_elements": (5, 60)},
+    "p_patch_mosaic": 0.3, "patch_classes": (3, 8), "p_barriers": 0.5,
+    "barriers": {"n_lines_per_128px": (1, 8), "width_px": (1.0, 3.0), "p_oriented": 0.5, "gap_fraction": (0.0, 0.3), "gap_length_px": (2.0, 8.0), "barrier_cost": (0.7, 1.0)},
+    "p_nodata": 0.3, "nodata": {"fraction": (0.02, 0.25), "length_scale": (4.0, 32.0)},
+    "contrast": (10, 100, 1000, 10000, 100000, 1000000), "contrast_weights": (1, 1, 1, 1, 1, 0.5), "mapping": "log",
+}
 TABLE_NAMES = ["generic_hm", "large_mammal", "amphibian", "forest_bird", "random_lm"]
 PER_LANDSCAPE = {"points": 1.0, "wall_to_wall_NS": 1.0, "wall_to_wall_EW": 1.0, "regions": 0.4, "advanced": 1.0, "omniscape": 1.0}
 STORAGE_MB = {"synthetic": {"S": 0.93, "M": 3.0, "L": 11.0, "XL": 41.0, "XXL": 140.0}, "real": {"S": 1.4, "M": 4.5, "L": 16.0, "XL": 60.0, "XXL": 200.0}}
@@ -66,3 +81,14 @@ TABLES = {
     },
     "constant": {"r_max": 10.0, "base": "constant", "constant": 5.0, "water": ("nodata", None)},
 }
+
+# What a shard's root names, the versions of its layout, and the arrays of each kind of configuration.
+ROOT_ATTRIBUTES = ["dataset_version", "schema_version", "pipeline_git_sha", "created_at"]
+SCHEMA_VERSIONS = ["0.1", "0.2"]
+_PAIRS = {"focal_mask": "int32", "cum_current": "float32", "reff": "float64", "labels": "int32", "pair_index": "int32"}
+DATASETS = {
+    "points": _PAIRS, "wall_to_wall": _PAIRS, "regions": _PAIRS,
+    "advanced": {"source_strength": "float32", "ground": "int8", "current": "float32", "voltage": "float32"},
+    "omniscape": {"source_strength": "float32", "cum_current": "float32", "flow_potential": "float32", "normalized": "float32"},
+}
+RASTERS = ["focal_mask", "cum_current", "source_strength", "ground", "current", "voltage", "flow_potential", "normalized"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -80,3 +80,21 @@ def cost(land: DataFrame) -> DataFrame:
     size = land.groupBy("tier").agg(F.sum("landscapes").alias("landscapes"), (F.sum(F.col("landscapes") * mb) / 1000).alias("gb"))
     t = sec.join(size, "tier").select("tier", "landscapes", F.round(F.col("sec") * (1 + K.OVERHEAD) / 3600, 0).alias("cpu_hours"), F.round("gb", 1).alias("storage_gb"))
     return t.rollup("tier").agg(F.sum("landscapes").alias("landscapes"), F.sum("cpu_hours").alias("cpu_hours"), F.round(F.sum("storage_gb"), 1).alias("storage_gb")).select(F.coalesce("tier", F.lit("total")).alias("tier"), "landscapes", "cpu_hours", "storage_gb")
+
+
+def structural_similarity(pairs: DataFrame, x: str, y: str, reach: int = 1, span: float = 1.0) -> DataFrame:
+    """Mean structural similarity of two rasters (sid, r, c, x, y) over windows of ``2 * reach + 1`` cells a side.
+
+    Window sums of the values, their squares and products go along rows, then along
+    columns; at the border a window has fewer cells.
+    """
+    sums = {"_x": F.col(x), "_y": F.col(y), "_xx": F.col(x) * F.col(x), "_yy": F.col(y) * F.col(y), "_xy": F.col(x) * F.col(y), "_n": F.lit(1)}
+    across = Window.partitionBy("sid", "r").orderBy("c").rowsBetween(-reach, reach)
+    along = Window.partitionBy("sid", "c").orderBy("r").rowsBetween(-reach, reach)
+    p = pairs.withColumns(sums)
+    p = p.select("sid", "r", "c", *[F.sum(k).over(across).alias(k) for k in sums])
+    p = p.select("sid", *[F.sum(k).over(along).alias(k) for k in sums])
+    mx, my, xx, yy, xy = (F.col(k) / F.col("_n") for k in ("_x", "_y", "_xx", "_yy", "_xy"))
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    s = (2 * mx * my + c1) * (2 * (xy - mx * my) + c2) / ((mx * mx + my * my + c1) * (xx - mx * mx + yy - my * my + c2))
+    return p.groupBy("sid").agg(F.avg(s).alias("ssim"))

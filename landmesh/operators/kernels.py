@@ -350,12 +350,15 @@ def gaussian_field(shape, length: float, rng: np.random.Generator, stretch: floa
     turn = np.exp(-1j * np.radians(degrees))
     wave = (np.fft.fftfreq(shape[1])[None, :] + 1j * np.fft.fftfreq(shape[0])[:, None]) * turn
     phase = (length * wave.real) ** 2 + (length / stretch * wave.imag) ** 2
-    noise = np.fft.fft2(rng.standard_normal(shape))
-    return rescaled(np.fft.ifft2(noise * np.exp(-(np.pi**2) * phase)).real)
+    noise = np.fft.fft2(rng.standard_normal(shape)) * np.exp(-(np.pi**2) * phase)
+    noise[0, 0] = 0  # the mean, beside which long waves would round away
+    return rescaled(np.fft.ifft2(noise).real)
 
 
 def midpoint_field(shape, roughness: float, rng: np.random.Generator) -> np.ndarray:
     """Random midpoint displacement on the next square of side 2**n + 1, cut to shape."""
+    if not 0 < roughness < 1:
+        raise ValueError("roughness must be in (0, 1)")
     n = 1 << int(np.ceil(np.log2(max(max(shape) - 1, 2))))
     a = np.zeros((n + 1, n + 1))
     a[:: n, :: n] = rng.standard_normal((2, 2))
@@ -416,36 +419,31 @@ def distance_field(shape, n: int, rng: np.random.Generator) -> np.ndarray:
     return rescaled(nearest_of(shape, rng.integers(0, shape[0], n), rng.integers(0, shape[1], n))[1])
 
 
+def ramp(shape, degrees: float) -> np.ndarray:
+    """Rows and columns combined along a direction, rescaled."""
+    t = np.radians(degrees)
+    return rescaled(np.add.outer(np.arange(shape[0]) * np.cos(t), np.arange(shape[1]) * np.sin(t)))
+
+
+#: Generators by name: shape, random generator and their parameters by name.
 FIELDS = {
-    "grf": lambda s, r: gaussian_field(s, 4.0, r, 2.0, 30.0),
-    "fractal": lambda s, r: midpoint_field(s, 0.6, r),
-    "random_cluster": lambda s, r: cluster_field(s, 0.4, r),
-    "planar_gradient": lambda s, r: rescaled(np.add.outer(np.arange(s[0]) * np.cos(0.5), np.arange(s[1]) * np.sin(0.5))),
-    "edge_gradient": lambda s, r: 1 - np.abs(2 * rescaled(np.add.outer(np.arange(s[0]) * np.cos(0.5), np.arange(s[1]) * np.sin(0.5))) - 1),
-    "distance_gradient": lambda s, r: distance_field(s, 4, r),
-    "mosaic": lambda s, r: mosaic_field(s, 12, r),
+    "grf": lambda s, r, length_scale=4.0, anisotropy=2.0, angle_deg=30.0: gaussian_field(s, length_scale, r, anisotropy, angle_deg),
+    "fractal": lambda s, r, roughness=0.6: midpoint_field(s, roughness, r),
+    "random_cluster": lambda s, r, p=0.4: cluster_field(s, p, r),
+    "planar_gradient": lambda s, r, direction_deg=28.65: ramp(s, direction_deg),
+    "edge_gradient": lambda s, r, direction_deg=28.65: 1 - np.abs(2 * ramp(s, direction_deg) - 1),
+    "distance_gradient": lambda s, r, n_sources=4: distance_field(s, n_sources, r),
+    "mosaic": lambda s, r, n_elements=12: mosaic_field(s, n_elements, r),
 }
 
 
-def field(name: str, shape, seed: int) -> np.ndarray:
-    """A named synthetic field in [0, 1]; the same seed gives the same field."""
+def field(name: str, shape, rng: int | np.random.Generator, **params) -> np.ndarray:
+    """A named synthetic field in [0, 1]; the same seed and parameters give the same field."""
     if name not in FIELDS:
         raise KeyError(f"unknown generator {name}")
     if min(shape) < 4:
         raise ValueError("fields need at least 4 by 4 cells")
-    return FIELDS[name](shape, np.random.default_rng(seed))
-
-
-def landscape(seed: int, shape=(32, 32)) -> dict:
-    """A synthetic landscape from the seed alone: generator, contrast, resistance, no-data mask of one component."""
-    rng = np.random.default_rng(seed)
-    name = sorted(FIELDS)[rng.integers(len(FIELDS))]
-    contrast = float(10 ** rng.integers(1, 5))
-    f = field(name, shape, int(rng.integers(2**31)))
-    blobs = gaussian_field(shape, 5.0, rng)
-    valid = blobs >= np.quantile(blobs, 0.1)
-    valid = labels(valid) == 0
-    return {"generator": name, "contrast": contrast, "resistance": np.clip(contrast**f, 1, contrast), "valid": valid}
+    return FIELDS[name](shape, np.random.default_rng(rng), **params)
 
 
 def focal_points(resistance: np.ndarray, valid: np.ndarray, k: int, separation: int, rng: np.random.Generator, attempts: int = 200) -> list[tuple[int, int]]:

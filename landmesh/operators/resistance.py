@@ -14,17 +14,31 @@ class TableError(ValueError):
 
 def check_table(name: str, t: dict) -> None:
     """The rules that every resistance table obeys; a breach raises ``TableError``."""
+    found = broken_rules(t)
+    if found:
+        raise TableError(f"{name}: {'; '.join(found)}")
+
+
+def broken_rules(t: dict) -> list[str]:
+    out, r_max = [], t["r_max"]
+    rule = lambda ok, text: None if ok else out.append(text)
+    rule(r_max > 1, "r_max must be over 1")
     if t["base"] == "landcover":
-        missing = [c for c in K.LANDCOVER if c and c not in t["landcover"]]
-        if missing or any(not 1 <= v <= t["r_max"] for v in t["landcover"].values()):
-            raise TableError(f"{name}: all classes need a value from 1 to r_max")
-    if not set(t.get("roads", {})) <= {1, 2, 3, 4, 5}:
-        raise TableError(f"{name}: road classes are 1 to 5")
-    if t["water"][0] == "barrier" and t["water"][1] is None:
-        raise TableError(f"{name}: a barrier needs a value")
+        rule(all(c in t["landcover"] for c in K.LANDCOVER if c), "all land-cover classes need a value")
+        rule(all(1 <= v <= r_max for v in t["landcover"].values()), "land-cover values are from 1 to r_max")
+    elif t["base"] == "ghm":
+        rule(t["a"] > 0 and t["b"] > 0, "the modification's factor and power must be positive")
+    else:
+        rule(t["base"] == "constant" and t["constant"] >= 1, "a constant base is at least 1")
+    rule(set(t.get("roads", {})) <= {1, 2, 3, 4, 5} and t.get("buffer_m", 0.0) >= 0, "road classes are 1 to 5, their distance not negative")
+    rule("slope" not in t or (t["slope"][0] >= 0 and t["slope"][1] > 0), "slope needs a rate and a positive cap")
     limits = [b for b, _ in t.get("bands", [])]
-    if limits != sorted(limits):
-        raise TableError(f"{name}: elevation bands must ascend")
+    rule(limits == sorted(limits) and all(f > 0 for _, f in t.get("bands", [])), "elevation bands must ascend, their factors be positive")
+    rule(t.get("ghm_additive", 0.0) >= 0, "added modification is not negative")
+    mode, value = t["water"]
+    rule(mode in ("barrier", "nodata", "table"), "water is a barrier, no data or as in the table")
+    rule(mode != "barrier" or (value is not None and value >= 1), "a barrier needs a value of at least 1")
+    return out
 
 
 def lookup(values: dict[int, float], key: Column, default: float) -> Column:

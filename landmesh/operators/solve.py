@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import prior as P
 
 
 def packed(cells: DataFrame, *values: str, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
@@ -162,18 +164,40 @@ def convergence(cells: DataFrame, targets: tuple[float, ...] = (1e-4, 1e-6, 1e-1
     return cells.groupBy("sid").applyInPandas(run, "sid bigint, target double, iterations int")
 
 
-def landscapes(seeds: DataFrame, side: int = 32) -> DataFrame:
-    """Synthetic landscapes from seeds (column ``seed``): sid, generator, contrast, r, c, resistance, valid."""
+def landscapes(seeds: DataFrame, side: int = 32, prior: dict | None = None) -> DataFrame:
+    """Synthetic landscapes from seeds (column ``seed``): sid, r, c, resistance, valid, generator, contrast."""
 
     def run(batches):
         for pdf in batches:
             for seed in pdf.seed:
-                ls = K.landscape(int(seed), (side, side))
+                ls = P.landscape(int(seed), (side, side), prior)
                 yield _long(int(seed), (side, side), resistance=ls["resistance"], valid=ls["valid"]).assign(generator=ls["generator"], contrast=ls["contrast"])
 
     return seeds.select("seed").mapInPandas(run, "sid bigint, r bigint, c bigint, resistance double, valid boolean, generator string, contrast double")
 
 
+def parameters(seeds: DataFrame, side: int = 32, prior: dict | None = None) -> DataFrame:
+    """What the prior draws for each seed: sid and its parameters as JSON."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"sid": pdf.seed, "params": [json.dumps(P.draw(int(x), (side, side), prior), sort_keys=True) for x in pdf.seed]})
+
+    return seeds.select("seed").mapInPandas(run, "sid bigint, params string")
+
+
+def regenerated(stored: DataFrame, prior: dict | None = None) -> DataFrame:
+    """Landscapes made again from stored ``sid`` and ``params``; a row that the prior contradicts is an error."""
+
+    def run(batches):
+        for pdf in batches:
+            for sid, params in zip(pdf.sid, pdf.params, strict=True):
+                ls = P.regenerated(json.loads(params), int(sid), prior)
+                yield _long(int(sid), ls["valid"].shape, resistance=ls["resistance"], valid=ls["valid"])
+
+    return stored.select("sid", "params").mapInPandas(run, "sid bigint, r bigint, c bigint, resistance double, valid boolean")
+
+
 def focal_points(cells: DataFrame, k: int = 3, separation: int = 8) -> DataFrame:
     """Seeded focal points in the largest component: sid, label, r, c."""
 

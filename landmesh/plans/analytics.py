@@ -365,9 +365,10 @@ def cost(spark, d):
     return I.cost(I.landscapes(spark))
 
 
-@query("M-01_plan_synthetic", f"WITH r AS (SELECT CAST(i AS BIGINT) AS i FROM range(500) t(i)) SELECT i, 20260905 + i AS seed, i // 50 AS shard FROM r")
+@query("M-01_plan_synthetic", f"WITH {X.SEEDS} SELECT seed - 20260905 AS i, seed, (seed - 20260905) // 50 AS shard FROM seeds")
 def plan(spark, d):
-    return spark.range(500).select(F.col("id").alias("i"), (F.col("id") + 20260905).alias("seed"), F.floor(F.col("id") / 50).alias("shard"))
+    """Consecutive seeds, fifty landscapes a shard."""
+    return X.seeds(spark, d).select((F.col("seed") - 20260905).alias("i"), "seed", F.floor((F.col("seed") - 20260905) / 50).alias("shard"))
 
 
 @query("M-03_provisional_split", f"WITH {ALL}, {_FINAL} SELECT sample_id, config, split, split NOT IN ('train', 'val') AS cg_baseline FROM fin")

@@ -13,9 +13,10 @@ from .. import constants as K
 from ..operators import cells as C
 from ..operators import kernels as N
 from ..operators import solve as S
+from ..operators import validate as V
 from ..sources import fixtures as X
 from .network import SMALL, _COMP, labelled, small
-from .numeric import focal_cells
+from .numeric import focal_cells, quota, quota_sql
 from .registry import query
 from .surfaces import SURFACE, surface
 
@@ -32,15 +33,15 @@ def tier_scaling(spark, d):
 # -- synthetic fields ---------------------------------------------------------------
 
 
-def fields(spark, name: str, n: int = 6, side: int = 16):
-    """One named field per seed, as cells: sid, r, c, f."""
+def fields(spark, d, name: str, side: int = 16):
+    """One named field for each seed, as cells: sid, r, c, f."""
 
     def run(batches):
         for pdf in batches:
             for seed in pdf.seed:
                 yield S._long(int(seed), (side, side), f=N.field(name, (side, side), int(seed)))
 
-    return spark.range(n).select((F.col("id") + 100).alias("seed")).mapInPandas(run, "sid bigint, r bigint, c bigint, f double")
+    return X.seeds(spark, d).mapInPandas(run, "sid bigint, r bigint, c bigint, f double")
 
 
 def _summary(df):
@@ -49,17 +50,17 @@ def _summary(df):
 
 @query("Y-02_gaussian_field")
 def gaussian(spark, d):
-    return _summary(fields(spark, "grf"))
+    return _summary(fields(spark, d, "grf"))
 
 
 @query("Y-03_midpoint_field")
 def midpoint(spark, d):
-    return _summary(fields(spark, "fractal"))
+    return _summary(fields(spark, d, "fractal"))
 
 
 @query("Y-04_random_cluster")
 def cluster(spark, d):
-    return _summary(fields(spark, "random_cluster"))
+    return _summary(fields(spark, d, "random_cluster"))
 
 
 _SEEDS = [(3, 4), (20, 9), (11, 27), (29, 30)]
@@ -94,7 +95,7 @@ def blobs(spark, d):
     """Cells of a Gaussian field under its 20 % quantile are no data; of the rest the largest component stays."""
     from ..operators.graph import component_labels
 
-    f = fields(spark, "grf")
+    f = fields(spark, d, "grf")
     edge = C.quantile_edges(f, "f", [0.2])
     valid = f.join(edge, "sid").where(F.col("f") >= F.get("edges", F.lit(0))).select("sid", "r", "c")
     return component_labels(valid).where("label = 0").groupBy("sid").agg(F.count(F.lit(1)).alias("n_valid"))
@@ -102,17 +103,26 @@ def blobs(spark, d):
 
 @query("Y-12_dispatch")
 def dispatch(spark, d):
-    parts = [_summary(fields(spark, n, 2)).withColumn("generator", F.lit(n)) for n in sorted(N.FIELDS)]
+    """Every generator by name, with its default parameters."""
+    parts = [_summary(fields(spark, d, n)).withColumn("generator", F.lit(n)) for n in sorted(N.FIELDS)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("Y-14_regenerate")
+@query("Y-14_regenerate", f"WITH {X.SEEDS} SELECT seed AS sid, true AS same, CAST(1024 AS BIGINT) AS cells FROM seeds")
 def regenerate(spark, d):
-    """Landscapes made twice from their seeds agree in every cell."""
-    seeds = spark.range(6).select((F.col("id") + 20260905).alias("seed"))
-    a, b = S.landscapes(seeds), S.landscapes(seeds.repartition(3)).withColumnsRenamed({"resistance": "r2", "valid": "v2"})
-    both = a.join(b.select("sid", "r", "c", "r2", "v2"), ["sid", "r", "c"])
-    return both.groupBy("sid", "generator").agg(F.bool_and((F.col("resistance") == F.col("r2")) & (F.col("valid") == F.col("v2"))).alias("same"), F.count(F.lit(1)).alias("cells"))
+    """Landscapes made again from their stored parameters agree with those drawn in every cell."""
+    seeds = X.seeds(spark, d)
+    a, b = S.landscapes(seeds), S.regenerated(S.parameters(seeds)).withColumnsRenamed({"resistance": "r2", "valid": "v2"})
+    both = a.join(b, ["sid", "r", "c"])
+    return both.groupBy("sid").agg(F.bool_and((F.col("resistance") == F.col("r2")) & (F.col("valid") == F.col("v2"))).alias("same"), F.count(F.lit(1)).alias("cells"))
+
+
+@query("Y-01_sub_seeds", f"WITH {X.SEEDS} SELECT seed, name, CAST('0x' || substr(sha256(seed || '|' || name), 1, 8) AS BIGINT) AS sub_seed FROM seeds, (VALUES ('base'), ('barriers'), ('nodata'), ('patches')) t(name)")
+def sub_seeds(spark, d):
+    """Seeds of independent streams by name, in place of a guarded global generator."""
+    names = F.explode(F.array(*[F.lit(n) for n in ("base", "barriers", "nodata", "patches")])).alias("name")
+    s = X.seeds(spark, d).select("seed", names)
+    return s.select("seed", "name", F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("seed").cast("string"), "name"), 256), 1, 8), 16, 10).cast("bigint").alias("sub_seed"))
 
 
 # -- sources ------------------------------------------------------------------------
@@ -216,10 +226,8 @@ def fallback(spark, d):
 # -- plans, loaders, validation -------------------------------------------------------
 
 
-@query("M-02_plan_real")
+@query("M-02_plan_real", f"WITH {X.TILES}, {quota_sql()} SELECT tile_id, table_id, row_number() OVER (PARTITION BY table_id ORDER BY tile_id) + 1000 AS seed FROM quota")
 def plan_real(spark, d):
-    from .numeric import quota
-
     t = quota(spark, d)
     return t.withColumn("seed", F.row_number().over(Window.partitionBy("table_id").orderBy("tile_id")) + 1000).select("tile_id", "table_id", F.col("seed").cast("bigint").alias("seed"))
 
@@ -243,17 +251,20 @@ def metadata(spark, d):
     return X.runs(spark, d).select("event_id", F.coalesce(k >= 0, F.lit(False)).alias("ok"))
 
 
-@query("V-05_resistance_matrix")
+@query("V-05_resistance_matrix", """WITH p AS (SELECT vec_id AS sid, i, j, 0.6::DOUBLE + abs(CAST(embedding[i * 8 + j + 1] AS DOUBLE)) AS reff FROM embeddings, range(8) a(i), range(8) b(j) WHERE i < j),
+b AS (SELECT * FROM p UNION ALL SELECT sid, j, i, reff FROM p), t AS (SELECT a.sid, count(*) AS broken FROM b a JOIN b c ON a.sid = c.sid AND a.j = c.i JOIN p x ON x.sid = a.sid AND x.i = a.i AND x.j = c.j WHERE x.reff > a.reff + c.reff + 1e-9 GROUP BY a.sid)
+SELECT sid, count(*) = 28 AS complete, bool_and(reff > 0 AND isfinite(reff)) AS positive, coalesce(max(broken), 0) AS broken FROM p LEFT JOIN t USING (sid) GROUP BY sid""")
 def matrix_checks(spark, d):
-    """Reff of every raster: all pairs of its labels there, positive, triangle inequality holds."""
-    p = S.pairwise(focal_cells(spark, d)).select("sid", "i", "j", "reff")
-    both = p.unionByName(p.select("sid", F.col("j").alias("i"), F.col("i").alias("j"), "reff"))
-    a = both.select("sid", F.col("i").alias("x"), F.col("j").alias("y"), F.col("reff").alias("xy"))
-    b = both.select("sid", F.col("i").alias("y"), F.col("j").alias("z"), F.col("reff").alias("yz"))
-    c = both.select("sid", F.col("i").alias("x"), F.col("j").alias("z"), F.col("reff").alias("xz"))
-    t = a.join(b, ["sid", "y"]).where("x <> z").join(c, ["sid", "x", "z"])
-    shape = p.groupBy("sid").agg((F.count(F.lit(1)) == 3).alias("complete"), (F.min("reff") > 0).alias("positive"))
-    return t.groupBy("sid").agg(F.bool_and(F.col("xz") <= F.col("xy") + F.col("yz") + 1e-9).alias("metric")).join(shape, "sid")
+    """Matrices of eight labels: all pairs there, positive and finite, and where a detour would be shorter than the pair."""
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.posexplode("embedding").alias("pos", "v"))
+    p = e.select("sid", F.expr("pos DIV 8").alias("i"), (F.col("pos") % 8).alias("j"), (0.6 + F.abs(F.col("v").cast("double"))).alias("reff")).where("i < j")
+    return V.matrices(p, 8)
+
+
+@query("V-05b_solved_matrices", f"WITH {X.GRIDS} SELECT DISTINCT sid, true AS complete, true AS positive, CAST(0 AS BIGINT) AS broken FROM grids")
+def solved_matrices(spark, d):
+    """Effective resistances of the small rasters are metrics."""
+    return V.matrices(S.pairwise(focal_cells(spark, d)).select("sid", "i", "j", "reff"), 3)
 
 
 # -- shard states -------------------------------------------------------------------

@@ -15,10 +15,10 @@ def _clip(c: str, lo, hi) -> str:
     return f"least(greatest(coalesce(CAST({c} AS DOUBLE), 0), {lo}), {hi})"
 
 
-def surface_sql() -> str:
-    """The five tables applied to all cells, as one SQL text."""
+def surface_sql(tables: dict[str, dict] = K.TABLES) -> str:
+    """The tables applied to all cells, as one SQL text."""
     parts = []
-    for name, t in K.TABLES.items():
+    for name, t in tables.items():
         if t["base"] == "landcover":
             base = X.case("landcover", {k: float(v) for k, v in t["landcover"].items()}, str(t["r_max"]))
         elif t["base"] == "ghm":

@@ -126,3 +126,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of solver runs from the events table."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("ts").alias("started"), "user_id", F.col("event_type").alias("state"), F.col("value").alias("seconds"), "props")
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One seed for every hundred customers."""
+    return table(spark, sf_dir, "customer").select((F.expr("c_custkey DIV 100") + 20260905).alias("seed")).distinct()
+
+
+SEEDS = "seeds AS (SELECT DISTINCT 20260905 + c_custkey // 100 AS seed FROM customer)"

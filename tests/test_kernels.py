@@ -1,10 +1,13 @@
 """Invariants of the numeric kernels and their grouped maps."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from landmesh import constants as C
+from landmesh.operators import prior as P
 from landmesh.operators import graph as G
 from landmesh.operators import kernels as K
 from landmesh.operators import resistance as R
@@ -107,13 +110,40 @@ def test_fields(name, shape):
 
 
 def test_landscapes_and_points():
-    ls = K.landscape(5)
-    assert K.labels(ls["valid"]).max() == 0 and ls["resistance"].min() >= 1 and ls["resistance"].max() <= ls["contrast"]
-    assert (K.landscape(5)["resistance"] == ls["resistance"]).all()
+    for seed in range(40):
+        ls = P.landscape(seed, (32, 32))
+        assert K.labels(ls["valid"]).max() == 0 and ls["resistance"].min() >= 1 and ls["resistance"].max() <= ls["contrast"]
+        assert (ls["resistance"][~ls["valid"]] == 1).all() and ls["contrast"] in C.PRIOR["contrast"]
+        again = P.regenerated(json.loads(json.dumps(ls["params"])), seed)
+        assert (again["resistance"] == ls["resistance"]).all() and (again["valid"] == ls["valid"]).all()
     got = K.focal_points(ls["resistance"], ls["valid"], 4, 6, np.random.default_rng(0))
     assert len(set(got)) == 4 and all(ls["valid"][p] for p in got)
     with pytest.raises(KeyError):
         K.field("none", (8, 8), 0)
+    with pytest.raises(RuntimeError):
+        P.regenerated(ls["params"] | {"contrast": 7}, 39)
+    with pytest.raises(ValueError):
+        P.landscape(1, (3, 9))
+
+
+def test_prior_weights_and_ranges():
+    drawn = [P.draw(seed, (128, 128)) for seed in range(600)]
+    share = {n: np.mean([d["generator"] == n for d in drawn]) for n in K.FIELDS}
+    assert all(abs(share[n] - w) < 0.07 for n, w in C.PRIOR["generator_weights"].items())
+    assert 0.2 < np.mean(["nodata" in d for d in drawn]) < 0.4 < np.mean(["barriers" in d for d in drawn]) < 0.6
+    assert all(0.02 <= d["nodata"]["fraction"] <= 0.25 for d in drawn if "nodata" in d)
+    assert all(1 <= d["barriers"]["n_lines"] <= 8 and d["barriers"]["gap_fraction"] <= 0.3 for d in drawn if "barriers" in d)
+    mine = dict(C.PRIOR, generator_weights={"mosaic": 1}, p_nodata=1, p_barriers=0, p_patch_mosaic=1, contrast=(10,), contrast_weights=(1,))
+    d = P.draw(3, (64, 64), mine)
+    assert d["generator"] == "mosaic" and d["contrast"] == 10 and {"nodata", "patch_mosaic"} <= set(d) and "barriers" not in d
+    values = np.unique(P.build(d, 3)["cost"])
+    assert values.min() == 0 and values.max() == 1 and len(values) <= d["patch_mosaic"]["n_classes"]
+
+
+def test_barriers_have_gaps():
+    whole = P.barrier_mask((128, 128), 1, 3, np.random.default_rng(5), 0.0)
+    open_ = P.barrier_mask((128, 128), 1, 3, np.random.default_rng(5), 0.0, 0.25, 8.0)
+    assert (open_ <= whole).all() and 0.65 < open_.sum() / whole.sum() < 0.85 and whole.any(1).sum() in (2, 3, 4)
 
 
 def test_outline():
