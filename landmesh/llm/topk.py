@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that one wave sends to every executor at most.
-WAVE_BYTES = 16 << 20
-#: Candidate vectors in a tile.
-TILE = 4096
-#: Queries in a tile.
-QUERY_TILE = 512
+from .files import open_whole, write_whole
+from .store import materialize, new_path
+
+#: Vectors in a tile of candidates and of queries, and candidate tiles that one task meets a query tile with.
+TILE, QUERY_TILE, SHARD = 4096, 1024, 16
 #: Branches of the merge tree below its root.
 BRANCHES = 16
 
@@ -38,8 +39,13 @@ def top_of_tile(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: n
     partial selection never sees equal keys.
     """
     m = len(ids)
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
-    if bound < 2**52:
+    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
+    if bound >= 2**63:
+        exact = np.where(ids[None, :] == q_ids[:, None], 0, queries.astype(object) @ tile.astype(object).T)
+        if exact.size and max(abs(int(exact.max())), abs(int(exact.min()))) >= 2**63:
+            raise OverflowError("a score needs more than 64 bits")
+        score = exact.astype(np.int64)
+    elif bound < 2**52:
         score = (queries.astype(np.float64) @ tile.astype(np.float64).T).astype(np.int64)
     else:
         score = queries @ tile.T
@@ -49,7 +55,7 @@ def top_of_tile(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: n
         take = min(k + 1, m)
         at = np.argpartition(key, m - take, axis=1)[:, m - take :]
     else:
-        at = np.stack([np.lexsort((ids, -row.astype(object)))[: k + 1] for row in score])
+        at = np.stack([np.lexsort((ids, ~row))[: k + 1] for row in score])
     rows = np.repeat(np.arange(len(q_ids)), at.shape[1])
     at = at.ravel()
     other = ids[at] != q_ids[rows]
@@ -59,7 +65,7 @@ def top_of_tile(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: n
 
 def best(rows, ids, scores, k: int):
     """The k best of each query row, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, rows))
+    order = np.lexsort((ids, ~scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
     place = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
@@ -67,74 +73,94 @@ def best(rows, ids, scores, k: int):
     return rows[keep], ids[keep], scores[keep]
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None) -> DataFrame:
+def write_tiles(vectors: DataFrame, folder: str, size: int) -> DataFrame:
+    """Vectors (id, v) as files of up to ``size`` of one length, in the order of ids; returns path, d and n of each.
+
+    Numbers are kept in the smallest type that holds them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, done = TaskContext.get().partitionId(), {}, []
+
+        def close(d: int) -> None:
+            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
+            order = np.argsort(ids, kind="stable")
+            top = int(np.abs(vecs).max(initial=0))
+            kind = next(t for t in (np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)
+            out = io.BytesIO()
+            np.savez(out, ids=ids[order], v=vecs[order].astype(kind))
+            done.append((write_whole(folder, f"tile-{part:06d}-{len(done):06d}.npz", out.getvalue()), d, len(ids)))
+
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch["v"]))
+            ids = batch["id"].to_numpy()
+            for d in np.unique(sizes):
+                of = np.flatnonzero(sizes == d)
+                vecs = batch["v"].take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), d)
+                for lo in range(0, len(of), size):
+                    some = held.setdefault(int(d), [])
+                    some.append((ids[of[lo : lo + size]], vecs[lo : lo + size]))
+                    if sum(len(x[0]) for x in some) >= size:
+                        close(int(d))
+        for d in list(held):
+            close(d)
+        cols = list(zip(*done, strict=True)) if done else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["path", "d", "n"])
+
+    return materialize(vectors.select("id", "v").mapInArrow(run, "path string, d int, n int"), "tiles")
+
+
+def _tile(path: str) -> tuple[np.ndarray, np.ndarray]:
+    with open_whole(path) as (f, _):
+        got = np.load(io.BytesIO(f.read()))
+    return got["ids"], got["v"].astype(np.int64)
+
+
+def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k candidates of largest integer inner product.
 
-    Queries and candidates have ``id_col`` (long) and ``vector`` (array<bigint>).
-    Waves of queries, each of ``WAVE_BYTES`` at most, meet all candidates: a task
-    multiplies a query tile with a tile of its candidates, keeps the k best of the
-    tile and merges them into its own lists; lists then merge by branch and by query.
+    Queries and candidates have ``id_col`` (long) and ``vector`` (array<bigint>). Both are
+    written once as tiles in the shared folder. A task multiplies one query tile with a
+    shard of up to ``SHARD`` candidate tiles, keeps the k best of each tile and merges
+    them; lists then merge by branch and by query. Nothing is broadcast or sent to the
+    driver, and a task holds two tiles and k candidates a query.
     A candidate with the query's own id is left out, ties go to the smaller id, and
-    vectors of another length than the query's are no candidates. Null ids take no
-    part. Repeated candidate rows count as often as they occur.
-    Returns query_id, rank (from 1), vec_id and score.
+    vectors of another length than the query's are no candidates. Null ids take no part.
+    Repeated candidate rows count as often as they occur; of several query rows of one
+    id the smallest vector counts. Scores that 64 bits can't hold raise OverflowError.
+    No queries or no candidates give no rows. Returns query_id, rank (from 1), vec_id and
+    score.
     """
     spark = queries.sparkSession
-    cand = candidates.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
-    q = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
-    schema = "query_id bigint, vec_id bigint, score bigint, branch int"
-    dims = [r.d for r in q.select(F.size("v").alias("d")).distinct().collect()] if dim is None else [dim]
-    found = spark.createDataFrame([], schema)
-    for d in sorted(dims):
-        per_wave = max(1, WAVE_BYTES // (8 * max(1, d)))
-        n = q.where(F.size("v") == d).count()
-        waves = -(-n // per_wave)
-        for wave in range(waves):
-            part = q.where((F.size("v") == d) & (F.pmod(F.xxhash64("id"), F.lit(waves)) == wave))
-            table = part.toArrow().combine_chunks()
-            ids = table["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            flat = table["v"].combine_chunks()
-            flat = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
-            sent = spark.sparkContext.broadcast((ids[order], flat.reshape(len(ids), d)[order]))
-            hits = cand.where(F.size("v") == d).mapInArrow(_matcher(sent, d, k), schema)
-            found = found.unionByName(hits)
-    within = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), "vec_id")
-    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = found.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("rank", "branch")
-    merged = merged.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
-    return merged.select("query_id", "rank", "vec_id", "score")
-
+    known = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col(vector).isNotNull())
+    asked = known(queries).groupBy("id").agg(F.min("v").alias("v"))
+    c = write_tiles(known(candidates), new_path(spark, "candidates"), TILE)
+    q = write_tiles(asked, new_path(spark, "queries"), QUERY_TILE).select(F.col("path").alias("q"), "d")
+    tiles = c.count()
+    shards = c.groupBy("d", F.pmod(F.xxhash64("path"), F.lit(max(1, tiles // SHARD))).alias("shard")).agg(F.collect_list("path").alias("tiles"))
+    grid = q.join(shards, "d").select("q", "tiles", F.pmod("shard", F.lit(BRANCHES)).cast("int").alias("branch"))
+    grid = grid.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
 
-def _matcher(sent, d: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        q_ids, q = sent.value
-        branch = TaskContext.get().partitionId() % BRANCHES
-        kept = [None] * (-(-len(q_ids) // QUERY_TILE))
         for batch in batches:
-            all_ids = batch["id"].to_numpy()
-            vecs = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(all_ids), d)
-            for lo in range(0, len(all_ids), TILE):
-                ids, tile = all_ids[lo : lo + TILE], vecs[lo : lo + TILE]
-                order = np.argsort(ids, kind="stable")
-                ids, tile = ids[order], tile[order]
-                for t in range(len(kept)):
-                    at = slice(t * QUERY_TILE, (t + 1) * QUERY_TILE)
-                    new = top_of_tile(q[at], q_ids[at], tile, ids, k)
-                    if kept[t] is not None:
-                        new = tuple(np.concatenate(x) for x in zip(kept[t], new, strict=True))
-                    kept[t] = best(*new, k)
-        for t, lists in enumerate(kept):
-            if lists is not None and len(lists[0]):
+            for path, paths, branch in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                q_ids, vecs = _tile(path)
+                lists = None
+                for at in sorted(paths):
+                    ids, tile = _tile(at)
+                    new = top_of_tile(vecs, q_ids, tile, ids, k)
+                    lists = best(*(new if lists is None else (np.concatenate(x) for x in zip(lists, new, strict=True))), k)
                 rows, ids, scores = lists
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[t * QUERY_TILE + rows]), pa.array(ids), pa.array(scores), pa.array(np.full(len(ids), branch, np.int32))],
-                    names=["query_id", "vec_id", "score", "branch"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids), pa.array(scores), pa.array(np.full(len(ids), branch, np.int32))], names=["query_id", "vec_id", "score", "branch"])
 
-    return run
+    found = materialize(grid.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, branch int"), "lists")
+    within = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), "vec_id")
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    merged = found.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("rank", "branch")
+    merged = merged.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
+    return merged.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir):

@@ -431,6 +431,45 @@ def test_classifier(docs, nothing, spark):
     assert cotraining.classify(nothing, labels).collect() == []
 
 
+def test_classifier_equals_brute_force(spark):
+    """All views in memory, each round's surest by sorting all unlabelled rows: the same models and scores."""
+    r = random.Random(11)
+    good = [(i, words(60 + i % 40, i), "en", "ab"[i % 2], 400 + i % 50) for i in range(160)]
+    bad = [(1000 + i, " ".join(w.upper() if r.random() < 0.7 else w for w in split(words(60, i))), "de", "bc"[i % 2], 300 + i % 80) for i in range(80)]
+    rows = good + bad
+    labelled = {i: 1 for i in range(60)} | {1000 + i: 0 for i in range(30)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in labelled.items()], "doc_id bigint, quality int, toxic int")
+    df = docs_of(spark, rows).repartition(3)
+    batch = pa.RecordBatch.from_pandas(cotraining._views(df).toPandas().sort_values("doc_id"), preserve_index=False)
+    ids = np.asarray(batch["doc_id"])
+    views = (cotraining.text_view(batch["text"]), cotraining.meta_view(batch))
+    y = np.array([labelled.get(int(i), -1) for i in ids])
+    free = np.flatnonzero(y < 0)
+    order = {int(x.doc_id): x.h for x in df.select("doc_id", F.xxhash64("doc_id", F.lit(2)).alias("h")).collect()}
+    cut = np.log(0.97 / 0.03)
+
+    def surest(models, taken):
+        out = []
+        for v in range(2):
+            z = np.round(models[v].logit(views[v][free].astype(np.float32)), 6)
+            z[np.isin(ids[free], taken[v])] = 0
+            mine = []
+            for sign, label in ((1, 1), (-1, 0)):
+                far = sorted((-sign * z[k], order[int(ids[i])], i) for k, i in enumerate(free) if sign * z[k] >= cut)[:5]
+                mine += [(ids[i], i, label) for _, _, i in far]
+            mine.sort()
+            at = np.array([i for _, i, _ in mine], int)
+            out.append((ids[at], tuple(x[at] for x in views), np.array([g for _, _, g in mine], float)))
+        return out
+
+    has = np.flatnonzero(y >= 0)
+    model = cotraining.cotrain(tuple(x[has] for x in views), y[has].astype(float), surest)
+    want = dict(zip(ids.tolist(), model.scores(*views)[2], strict=True))
+    got = {x.doc_id: x.score for x in cotraining.classify(df, labels, per_round=5).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    assert np.mean([(got[i] >= 0.5) == (i < 1000) for i in got]) > 0.97
+
+
 def test_classifier_draws_on_all_documents(spark):
     """The surest are found among all unlabelled documents: no pool of a fixed size."""
     df = docs_of(spark, [(i, "some words", "en", "a", 10 + i) for i in range(3000)]).repartition(5)
@@ -463,6 +502,22 @@ def test_top_k(spark):
     assert topk.search(q.where("false"), q, 5).collect() == []
 
 
+def test_top_k_of_repeated_rows_and_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 3)
+    monkeypatch.setattr(topk, "SHARD", 2)
+    rows = [(50, [1, 2]), (50, [3, 0]), (7, [5, 5]), (7, [5, 5]), (7, [0, 1]), (100, [2, 2]), (3, [1, 1, 1]), (0, [9, 9, 9]), (11, [-4, 0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<bigint>").repartition(2)
+    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.search(df.where("vec_id % 50 = 0"), df, 3).collect()]
+    assert sorted(got) == [(0, 1, 3, 27), (50, 1, 7, 15), (50, 2, 7, 15), (50, 3, 100, 6), (100, 1, 7, 20), (100, 2, 7, 20), (100, 3, 50, 6)]
+    big = 3_000_000_000
+    far = spark.createDataFrame([(50, [big, -big]), (1, [big, 0]), (2, [big - 1, 0]), (3, [0, big])], "vec_id bigint, embedding array<bigint>")
+    got = [(x.vec_id, x.score) for x in topk.search(far.where("vec_id = 50"), far, 3).orderBy("rank").collect()]
+    assert got == [(1, big * big), (2, big * (big - 1)), (3, -big * big)]
+    over = spark.createDataFrame([(50, [1 << 40]), (1, [1 << 40])], "vec_id bigint, embedding array<bigint>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(over.where("vec_id = 50"), over, 3).collect()
+
+
 def test_warc_round_trip(spark):
     big = "x" * 2000
     rows = [(1, "http://a", None), (2, None, ""), (3, "http://c\r\nd", big), (4, "u", big), (5, "u", big), (6, "u", "s" * 10), (7, "u", "s" * 10), (8, "u", "é" * 600), (9, "u", "WARC/1.1\r\nWARC-Type: x\r\n\r\n")]
