@@ -271,13 +271,13 @@ def join(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str
     their prefix tokens, where an R-tree finds pairs whose summed coordinate minima can
     reach the threshold; pairs across components are verified on whole sets. Seed groups
     of like documents are linked first, so that the tree skips what is linked already.
-    Rows with a null id are left out; repeated ids count as one vertex.
+    Rows with a null id link with nothing and have a null component; repeated ids count
+    as one vertex. An empty table gives an empty result.
     Returns doc_id, n_shingles and component_id.
     """
     spark = docs.sparkSession
-    docs = docs.where(F.col(id_col).isNotNull())
     sets = materialize(shingle_sets(docs, size, num, den, id_col, text), "sets")
-    can = sets.where(F.col("prefix") > 0)
+    can = sets.where((F.col("prefix") > 0) & F.col("doc_id").isNotNull())
     reps = can.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "shared", "seeds", "salts")).alias("r"))
     reps = materialize(reps.select("r.*", "n"), "representatives")
     amount = reps.agg(F.sum(F.size("shared")).alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -317,7 +317,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str
     names = can.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     names = names.join(comp, F.col("rep") == F.col("v"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "k1", "k2", "prefix").join(names, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("prefix") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("prefix") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -325,11 +325,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that share an id one stays. Rows of null ids and of empty texts stay.
     """
-    gone = join(docs, **how).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__lm_gone")).distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__lm_gone"), "left_anti")
+    found = join(docs, **how).where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    marks = found.agg(F.max(F.col("component_id") != F.col("doc_id")).alias("__lm_gone"), (F.count(F.lit(1)) > 1).alias("__lm_again"))
+    marks = materialize(marks.where("__lm_gone OR __lm_again").withColumnRenamed("doc_id", "__lm_id"), "marks")
+    marked = docs.join(marks, F.col("doc_id") == F.col("__lm_id"), "left")
     once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    left = left.withColumn("__lm_no", F.row_number().over(once)).where(F.col("__lm_no") == 1).drop("__lm_no")
-    return left.unionByName(docs.where(F.col("doc_id").isNull()))
+    again = marked.where("NOT __lm_gone AND __lm_again").withColumn("__lm_no", F.row_number().over(once)).where(F.col("__lm_no") == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(F.col("__lm_id").isNull()).select(*columns).unionByName(again.select(*columns))
 
 
 def query(spark, sf_dir):

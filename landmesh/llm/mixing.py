@@ -74,18 +74,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` says, all columns as they are.
 
-    Rows that agree in id, source and size divide their copies evenly.
+    Rows that agree in id, source and size divide their copies evenly, those of the
+    smallest hash of their texts first; only rows that are equal in all of these may
+    stand for one another. An empty table gives an empty result.
     """
     keys = ["doc_id", "source", "size"]
     copies = mix(docs, **how).groupBy(*keys).agg(F.sum("copies").alias("__lm_c"), F.count(F.lit(1)).alias("__lm_m"))
     copies = copies.withColumnsRenamed({k: f"__lm_{k}" for k in keys})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__lm_row")
-    rows = sized(docs.select(row, "doc_id", "source", "text")).drop("text")
+    rows = sized(docs.select(row, "doc_id", "source", "text")).withColumn("__lm_tie", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__lm_{k}"))
     rows = rows.join(copies.where(F.col("__lm_c") > 0), same)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("__lm_tie"))
     each = F.floor(F.col("__lm_c") / F.col("__lm_m")) + (F.col("__lm_no") <= F.col("__lm_c") % F.col("__lm_m")).cast("int")
     rows = rows.withColumn("__lm_no", number).withColumn("__lm_k", each.cast("int")).where(F.col("__lm_k") > 0)
     return rows.select("__lm_row", F.explode(F.sequence(F.lit(1), F.col("__lm_k")))).select("__lm_row.*")

@@ -12,9 +12,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a new folder only if unset (local runs)."""
+    """The session's ``spark.checkpoint.dir``; a new folder only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="landmesh-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -39,7 +41,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lm_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_lm_path", None)
+        if path:
+            fs, at = filesystem(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def filesystem(spark: SparkSession, path: str):

@@ -12,7 +12,7 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     """The session's checkpoint folder; a new one only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="landmesh-")
         spark.conf.set("spark.checkpoint.dir", found)
