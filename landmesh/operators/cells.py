@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +103,9 @@ def nearest_feature(cells: DataFrame, features: DataFrame, attribute: str, pixel
     """Distance to the nearest feature cell and its attribute; without features 10 extents and 0.
 
     Two exact one-dimensional passes instead of all pairs: first the nearest feature
-    of each column above and below, then along each row the best column. Ties go to the
-    smaller row, then column. The second pass is bounded by the raster's width.
+    of each column above and below, then along blocks of rows the best column, outward
+    from each cell until no farther column can be nearer. Ties go to the smaller row,
+    then column. A block of rows is one task.
     """
     keys = keys or ("sid",)
     marked = cells.join(features.select(*keys, "r", "c", F.col(attribute).alias("_v")), [*keys, "r", "c"], "left")
@@ -114,8 +117,48 @@ def nearest_feature(cells: DataFrame, features: DataFrame, attribute: str, pixel
     du, dd = F.col("r") - F.col("_u.r"), F.col("_d.r") - F.col("r")
     take_up = F.col("_u").isNotNull() & (F.col("_d").isNull() | (du <= dd))
     lines = lines.withColumn("_b", F.when(take_up, F.col("_u")).otherwise(F.col("_d")))
-    row = lines.where(F.col("_b").isNotNull()).groupBy(*keys, "r").agg(F.collect_list(F.struct(F.col("c").alias("c"), F.abs(F.col("r") - F.col("_b.r")).alias("d"), F.col("_b.r").alias("fr"), F.col("_b._v").alias("v"))).alias("_row"))
-    out = cells.join(row, [*keys, "r"], "left")
-    best = F.array_min(F.transform("_row", lambda x: F.struct(((x["c"] - F.col("c")) * (x["c"] - F.col("c")) + x["d"] * x["d"]).alias("d2"), x["fr"].alias("fr"), x["c"].alias("fc"), x["v"].alias("v"))))
-    out = out.withColumn("_n", best)
-    return out.withColumn("distance", F.coalesce(F.sqrt(F.col("_n.d2").cast("double")) * pixel, F.lit(10.0 * side * pixel))).withColumn("nearest", F.coalesce(F.col("_n.v"), F.lit(0))).drop("_row", "_n")
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    found = lines.where(F.col("_b").isNotNull()).select(*keys, "r", "c", F.col("_b.r").alias("fr"), F.col("_b._v").alias("v"))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "r bigint", "c bigint", "_d2 bigint", "_fr bigint", "_fc bigint"])
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _nearest_columns(pdf.r.to_numpy(), pdf.c.to_numpy(), pdf.fr.to_numpy(), side)
+        out = pd.DataFrame(dict(zip(("r", "c", "_d2", "_fr", "_fc"), out, strict=True)))
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    near = found.drop("v").groupBy(*keys, F.floor(F.col("r") / ROWS)).applyInPandas(best, schema)
+    near = near.join(found.select(*keys, F.col("r").alias("_r"), F.col("c").alias("_fc"), F.col("v").alias("_v")).withColumnRenamed("_r", "r"), [*keys, "r", "_fc"])
+    out = cells.join(near, [*keys, "r", "c"], "left")
+    return out.withColumn("distance", F.coalesce(F.sqrt(F.col("_d2").cast("double")) * pixel, F.lit(10.0 * side * pixel))).withColumn("nearest", F.coalesce("_v", F.lit(0))).drop("_d2", "_fr", "_fc", "_v")
+
+
+#: Rows of a raster that one task searches along.
+ROWS = 64
+
+
+def _nearest_columns(r: np.ndarray, c: np.ndarray, fr: np.ndarray, side: int):
+    """Of rows whose cells know the nearest feature of their own column (fr): the nearest of all, for every column.
+
+    One number orders squared distance, feature row and feature column. Columns are tried
+    by rising distance, all cells in step, until the distance alone exceeds every best.
+    """
+    rows, at = np.unique(r, return_inverse=True)
+    w = max(side, int(c.max()) + 1)
+    top = np.iinfo(np.int64).max
+    d2, feature = np.full((len(rows), w), top >> 2), np.zeros((len(rows), w), np.int64)
+    d2[at, c], feature[at, c] = (r - fr) ** 2, fr
+    span = int(feature.max()) + 1
+    tail = feature * w + np.arange(w)
+    have = d2 < top >> 2
+    best = np.where(have, d2 * (span * w) + tail, top)
+    for k in range(1, w):
+        if k * k > (best.max() // (span * w) if (best < top).all() else top):
+            break
+        for to, of in ((slice(0, w - k), slice(k, w)), (slice(k, w), slice(0, w - k))):
+            key = np.where(have[:, of], (d2[:, of] + k * k) * (span * w) + tail[:, of], top)
+            best[:, to] = np.minimum(best[:, to], key)
+    rr, cc = (x.ravel() for x in np.meshgrid(rows, np.arange(w), indexing="ij"))
+    best = best.ravel()
+    return rr, cc, best // (span * w), best % (span * w) // w, best % w

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .cells import neighbours
 from .shared import ensure_checkpoints
 
+#: More columns than any raster has: a node is its row times this, plus its column.
+WIDTH = 1_000_000
+
 
 def edges(surface: DataFrame, resistance: str, *keys: str, four: bool = False, mean_resistance: bool = False) -> DataFrame:
     """One row per pair of adjacent valid cells: places, conductance g. Diagonals are longer by the root of two.
@@ -61,32 +67,54 @@ def residual(f: DataFrame, cells: DataFrame, injection: str, grounded: str | Non
     return s.select(*keys, F.when(F.col("_n") > 0, F.col("_e") / F.col("_n")).alias("residual"))
 
 
-def component_labels(cells: DataFrame, *keys: str, four: bool = False) -> DataFrame:
-    """Component of each valid cell, 0 the largest, ties to the smaller first cell.
+def component_labels(cells: DataFrame, *keys: str, four: bool = False, band: int = 1024) -> DataFrame:
+    """Component of each valid cell, 0 the largest, ties to the smaller first cell; and the component's size.
 
-    Labels are the smallest node they reach, lowered over edges and then jumped through
-    the label's own label; lineage is cut each round. Works on rasters of any size.
+    Bands of ``band`` rows are labelled by themselves, one task each. What remains is a
+    graph of the bands' components that touch across a border; it is empty for rasters
+    of one band, and its labels are lowered over its edges and jumped through each
+    other until nothing changes. Works on rasters of any size; a label's cells are never
+    shuffled together before the sizes are summed.
     """
     keys = keys or ("sid",)
     ensure_checkpoints(cells.sparkSession)
-    node = F.col("r") * 1000000 + F.col("c")
-    nodes = cells.select(*keys, node.alias("v"))
-    e = neighbours(cells.withColumn("_x", F.lit(0)), "_x", four, *keys).select(*keys, node.alias("a"), (F.col("r2") * 1000000 + F.col("c2")).alias("b"))
-    e = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    state = nodes.withColumn("m", F.col("v")).checkpoint()
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0 = int(pdf.r.min())
+        on = np.zeros((int(pdf.r.max()) - r0 + 1, int(pdf.c.max()) + 1), bool)
+        on[pdf.r - r0, pdf.c] = True
+        lab = K.labels(on, four)
+        r, c = np.nonzero(on)
+        _, first, of = np.unique(lab[on], return_index=True, return_inverse=True)
+        out = pd.DataFrame({"r": r + r0, "c": c, "root": ((r + r0) * WIDTH + c)[first][of]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    local = cells.select(*keys, "r", "c").groupBy(*keys, F.floor(F.col("r") / band)).applyInPandas(label, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", r bigint, c bigint, root bigint").checkpoint()
+    edge = local.where((F.col("r") % band).isin(0, band - 1))
+    met = neighbours(edge, "root", four, *keys).where(F.floor(F.col("r") / band) != F.floor(F.col("r2") / band))
+    links = met.select(*keys, F.col("va").alias("a"), F.col("vb").alias("b")).distinct().checkpoint()
+    if links.isEmpty():
+        labelled = local.withColumnRenamed("root", "m")
+    else:
+        lowest = _lowered(links, keys)
+        labelled = local.join(lowest, [*keys, "root"], "left").select(*keys, "r", "c", F.coalesce("m", "root").alias("m"))
+    sizes = labelled.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("size"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "m")) - 1
+    return labelled.join(sizes.withColumn("label", place.cast("int")), [*keys, "m"]).select(*keys, "r", "c", "label", "size")
+
+
+def _lowered(links: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The smallest node that each node of ``links`` (a, b) reaches: root and m."""
+    e = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    state = e.select(*keys, F.col("a").alias("v")).distinct().withColumn("m", F.col("v")).checkpoint()
     while True:
         near = e.join(state.select(*keys, F.col("v").alias("b"), F.col("m").alias("_n")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("v")).agg(F.min("_n").alias("_n"))
-        low = state.join(near, [*keys, "v"], "left").select(*keys, "v", F.col("m").alias("_old"), F.least("m", F.coalesce("_n", "m")).alias("m"))
+        low = state.join(near, [*keys, "v"]).select(*keys, "v", F.col("m").alias("_old"), F.least("m", "_n").alias("m"))
         jump = low.select(*keys, F.col("v").alias("m"), F.col("m").alias("_j"))
         new = low.join(jump, [*keys, "m"]).select(*keys, "v", F.least("m", "_j").alias("m"), "_old").checkpoint()
         if new.where("m <> _old").isEmpty():
-            break
+            return new.select(*keys, F.col("v").alias("root"), "m")
         state = new.select(*keys, "v", "m")
-    labelled = new.select(*keys, "v", "m")
-    sizes = labelled.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "m")) - 1
-    sizes = sizes.withColumn("label", place)
-    out = labelled.join(sizes, [*keys, "m"])
-    return out.select(*keys, F.floor(F.col("v") / 1000000).alias("r"), (F.col("v") % 1000000).alias("c"), F.col("label").cast("int").alias("label"), F.col("n").alias("size"))

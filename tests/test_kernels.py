@@ -245,3 +245,38 @@ def test_field_is_longest_along_its_principal_axis():
             for (dr, dc), out in lag.items():
                 out.append((z * np.roll(z, (dr, dc), (0, 1))).mean())
         assert np.mean(lag[along]) > 0.5 > 0.2 > np.mean(lag[across])
+
+
+@pytest.mark.parametrize("band", [1, 3, 1024])
+@pytest.mark.parametrize("four", [False, True])
+def test_component_labels_by_bands(spark, band, four):
+    rng = np.random.default_rng(8)
+    masks = [rng.random((13, 9)) > p for p in (0.3, 0.5, 0.7, 0.95)]
+    rows = [(s, int(r), int(c)) for s, m in enumerate(masks) for r, c in np.argwhere(m)]
+    got = G.component_labels(spark.createDataFrame(rows, "sid bigint, r bigint, c bigint"), four=four, band=band).collect()
+    assert len(got) == len(rows)
+    for s, m in enumerate(masks):
+        lab = K.labels(m, four)
+        size = np.bincount(lab[m])
+        mine = {(x.r, x.c): (x.label, x.size) for x in got if x.sid == s}
+        assert mine == {(int(r), int(c)): (lab[r, c], size[lab[r, c]]) for r, c in np.argwhere(m)}
+
+
+def test_nearest_features_equal_brute_force(spark):
+    from landmesh.operators import cells as N
+
+    rng = np.random.default_rng(9)
+    for density in (0.0, 0.01, 0.1, 0.6):
+        on = rng.random((70, 23)) < density
+        rows = [(1, r, c, int(100 * r + c) if on[r, c] else None) for r in range(70) for c in range(23)]
+        df = spark.createDataFrame(rows, "sid bigint, r bigint, c bigint, k bigint")
+        got = {(x.r, x.c): (x.distance, x.nearest) for x in N.nearest_feature(df.select("sid", "r", "c"), df.where("k IS NOT NULL"), "k", 2.0, 23).collect()}
+        assert len(got) == len(rows)
+        spots = np.argwhere(on)
+        for r in range(70):
+            for c in range(23):
+                if len(spots):
+                    d2, fr, fc = min((int((r - a) ** 2 + (c - b) ** 2), int(a), int(b)) for a, b in spots)
+                    assert np.isclose(got[r, c][0], 2 * d2**0.5) and got[r, c][1] == 100 * fr + fc
+                else:
+                    assert got[r, c] == (460.0, 0)
