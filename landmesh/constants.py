@@ -59,6 +59,8 @@ XL_SHARE = 0.25
 OOD_REALMS, OOD_BIOMES = ["Australasia"], [10, 14]
 OOD_TABLE, OOD_CONTRAST = "forest_bird", 1000000
 METRES_PER_DEGREE = 111320.0
+# The latitude that boxes end at, the one whose width is the narrowest, and the least cosine.
+TOP_LATITUDE, WIDTH_LATITUDE, LEAST_COSINE = 89.999, 89.0, 0.02
 EPS = 1e-6
 
 # Resistance tables (classes, roads, slopes, bands, water rules).

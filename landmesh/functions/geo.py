@@ -43,8 +43,8 @@ def _cos_deg(lat: Column) -> Column:
 def tile_box(lat: Column, lon: Column, half: Column) -> dict[str, Column]:
     """A box in degrees that surely holds a square tile."""
     dlat = half / K.METRES_PER_DEGREE
-    worst = F.least(F.greatest(F.abs(lat - dlat), F.abs(lat + dlat)), F.lit(89.0))
-    dlon = half / (F.lit(K.METRES_PER_DEGREE) * F.greatest(_cos_deg(worst), F.lit(0.02)))
+    worst = F.least(F.greatest(F.abs(lat - dlat), F.abs(lat + dlat)), F.lit(K.WIDTH_LATITUDE))
+    dlon = half / (F.lit(K.METRES_PER_DEGREE) * F.greatest(_cos_deg(worst), F.lit(K.LEAST_COSINE)))
     return {"lat0": lat - dlat, "lat1": lat + dlat, "lon0": lon - dlon, "lon1": lon + dlon}
 
 
@@ -84,11 +84,11 @@ class Blocks:
         """All blocks that each tile (lat, lon, half_m) touches: rows of ``key`` and block."""
         lat, lon, half = F.col("lat"), F.col("lon"), F.col("half_m")
         dlat = half / K.METRES_PER_DEGREE
-        t = df.select(key, "lon", "half_m", F.greatest(lat - dlat, F.lit(-90.0)).alias("_a"), F.least(lat + dlat, F.lit(89.999)).alias("_b"))
+        t = df.select(key, "lon", "half_m", F.greatest(lat - dlat, F.lit(-90.0)).alias("_a"), F.least(lat + dlat, F.lit(K.TOP_LATITUDE)).alias("_b"))
         t = t.withColumn("band", F.explode(F.sequence(self.band(F.col("_a")), self.band(F.col("_b")))))
         low, high = F.greatest("_a", F.col("band") * self.deg - 90), F.least("_b", (F.col("band") + 1) * self.deg - 90)
-        worst = F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(89.0))
-        dlon = half / (F.lit(K.METRES_PER_DEGREE) * F.greatest(_cos_deg(worst), F.lit(0.02)))
+        worst = F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(K.WIDTH_LATITUDE))
+        dlon = half / (F.lit(K.METRES_PER_DEGREE) * F.greatest(_cos_deg(worst), F.lit(K.LEAST_COSINE)))
         n = self.cells(F.col("band"))
         w = 360.0 / n
         j0, j1 = F.floor((lon - dlon + 180) / w), F.floor((lon + dlon + 180) / w)

@@ -60,3 +60,12 @@ def crossed_cells(lines: DataFrame, size: float) -> DataFrame:
     s = lines.withColumn("at", at).select("*", F.posexplode("at").alias("k", "a")).withColumn("b", F.get("at", F.col("k") + 1)).where("b IS NOT NULL")
     mid = (F.col("a") + F.col("b")) / 2
     return s.select("line", F.floor((F.col("y") + mid * (F.col("y1") - F.col("y"))) / size).alias("r"), F.floor((F.col("x") + mid * (F.col("x1") - F.col("x"))) / size).alias("c"))
+
+
+def edges_of_wkt(polygons: DataFrame) -> DataFrame:
+    """Edges of polygons and multipolygons kept as WKT (poly, wkt): poly, x0, y0, x1, y1, for all rings."""
+    ring = F.explode(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), 1)).alias("ring")
+    points = F.transform(F.split("ring", r"\s*,\s*"), lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda z: z.cast("double")))
+    rings = polygons.select("poly", ring).select("poly", points.alias("p"))
+    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))
+    return rings.select("poly", F.explode(pairs).alias("e")).select("poly", F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), F.col("e.b")[0].alias("x1"), F.col("e.b")[1].alias("y1"))

@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every operator's query and oracle."""
 
-from . import analytics, contracts, generators, geo, network, numeric, surfaces, tiles  # noqa: F401
+from . import analytics, contracts, generators, geo, media, network, numeric, surfaces, tiles  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 

@@ -120,3 +120,15 @@ def test_a_build_goes_on_where_it_stopped(spark, tmp_path):
     assert {tuple(r) for r in B.status(spark, root).collect()} == {(0, 2, 2, 2, 2), (1, 4, 4, 4, 4)}
     index = spark.read.parquet(f"{root}/index")
     assert index.where("n_pairs <> 1 OR residual > 1e-6 OR qc_flags <> ''").count() == 0
+
+
+def test_pictures_and_wkt(spark):
+    import numpy as np
+
+    from landmesh.sources import images as M
+
+    gray = np.arange(35).reshape(5, 7) * 7
+    assert (M.pixels(M.png(gray)) == gray).all() and M.png(gray)[:8] == b"\x89PNG\r\n\x1a\n"
+    t = spark.createDataFrame([("a", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 1.5, 1 1)), ((-5 -5, -4 -5, -4 -4, -5 -5)))")], "poly string, wkt string")
+    e = G.edges_of_wkt(t).collect()
+    assert len(e) == 9 and (e[0].x0, e[0].y0, e[0].x1, e[0].y1) == (0, 0, 4, 0) and {r.poly for r in e} == {"a"}
