@@ -163,32 +163,40 @@ def _local(lo: int, hi: int):
     return run
 
 
-def _global(lo: int, hi: int, capacity: int, turn: int, patience: int):
-    """The sweep over what the ranges left, then the update of gaps, and new sequences if too little was matched."""
+def _global(lo: int, hi: int, capacity: int, patience: int):
+    """The sweep over what the ranges left, then gaps are updated and swept again until the class is placed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in _tuples(pa.Table.from_batches([b]))]
         matches, left, _ = sweep(_events(rows, lo, hi))
         matches += [(size, first, n, run_, slot) for kind, size, first, n, run_, slot, *_ in rows if kind == MATCH]
-        of: dict[int, list] = {}
-        for size, rank, n, first, slot in matches:
-            of.setdefault(first, []).append((slot, n, size, rank))
-        out, place = [], 0
-        for kind, size, first, n, *rest in rows:
-            if kind == GAP and first in of:
-                runs, segments = filled(first, n, size, _slots(size, hi), capacity, sorted(of[first]))
-                out += [(GAP, gap, at, k, None, 0, None, None) for gap, at, k in runs]
+        gaps = [(size, first, n) for kind, size, first, n, *_ in rows if kind == GAP]
+        place = max((first for kind, _, first, *_ in rows if kind == NEXT), default=0)
+        out = [(ITEM, size, first, n, None, 0, None, None) for kind, size, first, n, *_ in rows if kind == ITEM and not lo < size <= hi]
+        turn = 1
+        while True:
+            of: dict[int, list] = {}
+            for size, rank, n, first, slot in matches:
+                of.setdefault(first, []).append((slot, n, size, rank))
+            now = []
+            for gap, first, n in gaps:
+                if first not in of:
+                    now.append((gap, first, n))
+                    continue
+                runs, segments = filled(first, n, gap, _slots(gap, hi), capacity, sorted(of[first]))
+                now += runs
                 out += [(SEGMENT, *x[:3], x[3], None, x[4], x[5]) for x in segments]
-            elif kind == NEXT:
-                place = first
-            elif kind == GAP or (kind == ITEM and not lo < size <= hi):
-                out.append((kind, size, first, n, None, 0, None, None))
-        out += [(ITEM, size, rank, n, None, 0, None, None) for size, rank, n in left]
-        some, rest = sum(m[2] for m in matches), sum(n for _, _, n in left)
-        if rest and (10 * some <= some + rest or turn >= patience):
-            fresh = -(-sum(size * n for size, _, n in left) // capacity)
-            out.append((GAP, capacity, place, fresh, None, 0, None, None))
-            place += fresh
+            some, rest, gaps = sum(m[2] for m in matches), sum(n for _, _, n in left), now
+            if not rest:
+                break
+            if 10 * some <= some + rest or turn >= patience:
+                fresh = -(-sum(size * n for size, _, n in left) // capacity)
+                gaps.append((capacity, place, fresh))
+                place += fresh
+            turn += 1
+            free = [(GAP, gap, first, n, None, 0) for gap, first, n in gaps]
+            matches, left, _ = sweep(_events(free + [(ITEM, size, rank, n, None, 0) for size, rank, n in left], lo, hi))
+        out += [(GAP, gap, first, n, None, 0, None, None) for gap, first, n in gaps]
         out.append((NEXT, None, place, None, None, None, None, None))
         yield from _rows(out).to_batches()
 
@@ -198,11 +206,11 @@ def _global(lo: int, hi: int, capacity: int, turn: int, patience: int):
 def supersteps(items: DataFrame, capacity: int, patience: int = 5, ranges: int = 4) -> list[str]:
     """Place runs of equal items (length, n) by rounds; returns the folders whose SEGMENT rows say where.
 
-    Lengths go by halving classes, longest first. A superstep range-sorts the class's
+    A superstep is a halving class of lengths, longest first. It range-sorts the class's
     items and the slots of all gaps that could take one, sweeps each range for
-    successors, sweeps what the ranges left, and updates the gaps. It repeats until the
-    class is placed; items that find no gap open sequences when a superstep places less
-    than a tenth of them, or after ``patience`` supersteps. Items of a length and
+    successors, sweeps what the ranges left, updates the gaps, and repeats until the
+    class is placed; items that find no gap open sequences when a sweep places less
+    than a tenth of them, or after ``patience`` sweeps. Items of a length and
     sequences of a gap stand as runs, so a state has some thousand rows, bounded by the
     capacity, however many documents there are.
     """
@@ -210,8 +218,7 @@ def supersteps(items: DataFrame, capacity: int, patience: int = 5, ranges: int =
     kind = lambda k: F.lit(k).alias("kind")
     nil = [F.lit(None).cast(t).alias(c) for c, t in (("run", "bigint"), ("slot", "bigint"), ("per", "int"), ("offset", "int"))]
     state = items.select(kind(ITEM), F.col("length").cast("int").alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *nil)
-    state = state.unionByName(spark.range(1).select(kind(NEXT), F.lit(None).cast("int").alias("size"), F.col("id").alias("first"), F.lit(None).cast("bigint").alias("n"), *nil))
-    paths, before, turn = [], None, 0
+    paths: list[str] = []
     while True:
         longest = state.where(F.col("kind") == ITEM).agg(F.max("size")).first()[0]
         if longest is None:
@@ -219,15 +226,14 @@ def supersteps(items: DataFrame, capacity: int, patience: int = 5, ranges: int =
         hi = capacity
         while hi // 2 >= longest:
             hi //= 2
-        turn = turn + 1 if hi == before else 1
-        before, lo = hi, hi // 2
+        lo = hi // 2
         # Slots of a gap are at least as long as the longest item of the class, or the gap itself.
         q = F.greatest(F.lit(1), F.floor(F.col("size") / hi))
         size = F.when(F.col("kind") == GAP, F.floor(F.col("size") / q)).otherwise(F.coalesce("size", F.lit(0)))
         block = F.floor(size * ranges / (2 * hi)).cast("int").alias("block")
         swept = state.where(F.col("kind") != SEGMENT).groupBy(block).applyInArrow(_local(lo, hi), _STATE_DDL)
         path = new_path(spark, "superstep")
-        swept.coalesce(1).mapInArrow(_global(lo, hi, capacity, turn, patience), _STATE_DDL).write.parquet(path)
+        swept.coalesce(1).mapInArrow(_global(lo, hi, capacity, patience), _STATE_DDL).write.parquet(path)
         paths.append(path)
         state = spark.read.schema(_STATE_DDL).parquet(path)
 
