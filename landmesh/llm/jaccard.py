@@ -45,45 +45,35 @@ class _Sets:
         self.values, self.place, self.count = np.unique(X.short(self.hashes, p), return_inverse=True, return_counts=True)
 
 
-def _send(size: int, p: X.Plan):
+class _Frequency(X.Facts):
+    """Short hashes with a chunk's documents of each; answers with the class of the frequency (0: once; else 1 + log2)."""
+
+    FIELDS = ("counts",)
+
+    def judge(self, hashes, arrays):
+        order = np.argsort(hashes, kind="stable")
+        h, counts = hashes[order], arrays[0].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[: len(h)]
+        total = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.r_[first, len(h)])) if len(h) else counts
+        out = np.zeros(len(h), np.uint64)
+        out[order] = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0)
+        return out
+
+
+def _send(size: int, facts: _Frequency):
     @gives_back
     def run(key, table):
-        s = _Sets(table, size, p)
-        b = pa.binary()
-        return X.table(X.send(key[0].as_py(), s.values, p, s.count), bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=b, counts=b)
+        s = _Sets(table, size, facts.p)
+        return facts.messages(key[0].as_py(), s.values, [s.count])
 
     return run
 
 
-@gives_back
-def _frequency(key, messages):
-    """For each chunk of a bucket: the class of each of its short hashes' document frequencies (0: once; else 1 + log2)."""
-    hashes, bounds = X.received(messages)
-    sizes = np.diff(bounds)
-    counts = np.concatenate([X.unsqueeze(c.as_py(), n) for c, n in zip(messages["counts"], sizes, strict=True)]).astype(np.int64)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    total = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.r_[first, len(h)])) if len(h) else counts
-    kind = np.zeros(len(h), np.int64)
-    kind[order] = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0)
-    out = []
-    for k, chunk in enumerate(messages["chunk"].to_pylist()):
-        mine = kind[bounds[k] : bounds[k + 1]]
-        if mine.any():
-            out.append((chunk, key[0].as_py(), len(mine), X.squeeze(mine)))
-    return X.table(out, **{X.CHUNK: pa.int32()}, bucket=pa.int32(), n=pa.int32(), kinds=pa.binary())
-
-
 def _describe(size: int, p: X.Plan, num: int, den: int):
     @gives_back
     def run(docs, marks):
         s = _Sets(docs, size, p)
-        bounds = X.cells(s.values, p.buckets, p.bits)
-        kinds = np.zeros(len(s.values), np.int64)
-        for r in marks.to_pylist():
-            kinds[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = X.unsqueeze(r["kinds"], r["n"])
-        kinds = kinds[s.place]
+        kinds = X.told(marks.to_pylist(), X.cells(s.values, p.buckets, p.bits)).astype(np.int64)[s.place]
         order = np.lexsort((s.hashes, kinds, s.doc))
         h, k, doc = s.hashes[order], kinds[order], s.doc[order]
         n = np.bincount(doc, minlength=len(s.rows))
@@ -255,8 +245,8 @@ def shingle_sets(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_
     """
     p = X.plan(docs, text)
     part = X.dealt(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), p.chunks)
-    sent = part.groupBy(X.CHUNK).applyInArrow(_send(size, p), "bucket int, chunk int, n int, hashes binary, counts binary")
-    marks = sent.groupBy("bucket").applyInArrow(_frequency, f"{X.CHUNK} int, bucket int, n int, kinds binary")
+    facts = _Frequency(p, p.bits)
+    marks = facts.answered(part.groupBy(X.CHUNK).applyInArrow(_send(size, facts), facts.ddl))
     schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix int, shared array<bigint>, seeds array<bigint>, salts array<bigint>"
     return part.groupBy(X.CHUNK).cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_describe(size, p, num, den), schema)
 

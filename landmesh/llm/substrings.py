@@ -15,9 +15,6 @@ from . import exchange as X
 from .words import buffers, gives_back, window_hashes, word_hashes
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_MARKS = dict(zip((X.CHUNK, "round", "bucket", "n", "bits"), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))
-_MARKS_DDL = f"{X.CHUNK} int, round int, bucket int, n int, bits binary"
-
 
 class _Windows:
     """The windows of one chunk, in the order of documents and places.
@@ -47,104 +44,94 @@ class _Windows:
         """The distinct short hashes, sorted, and the number of each distinct window's."""
         return np.unique(X.short(self.hashes[0], p), return_inverse=True)
 
-    def suspects(self, p: X.Plan, marks: pa.Table) -> np.ndarray:
+    def suspects(self, p: X.Plan, answers: list[dict]) -> np.ndarray:
         """The distinct windows whose short hash other chunks hold too."""
         values, of = self.short(p)
-        return np.flatnonzero(_marked(marks, 1, X.cells(values, p.buckets, p.bits))[of])
+        return np.flatnonzero(X.told(answers, X.cells(values, p.buckets, p.bits))[of])
 
 
-def _marked(marks: pa.Table, turn: int, bounds: np.ndarray) -> np.ndarray:
-    out = np.zeros(bounds[-1], bool)
-    for r in marks.select(["round", "bucket", "n", "bits"]).to_pylist():
-        if r["round"] == turn:
-            out[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = X.unsqueeze_bits(r["bits"], r["n"])
-    return out
+def _of(marks: pa.Table, turn: int) -> list[dict]:
+    return [r for r in marks.to_pylist() if r["round"] == turn]
 
 
-def _send(size: int, p: X.Plan):
-    """First exchange: each chunk's short hashes."""
+class _Shared(X.Facts):
+    """First exchange, of short hashes: 1 for those that another chunk sent too."""
 
-    @gives_back
-    def run(key, table):
-        values, _ = _Windows(table, size, 1).short(p)
-        return X.table(X.send(key[0].as_py(), values, p), bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=pa.binary())
+    def judge(self, hashes, arrays):
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        out = np.zeros(len(hashes), np.uint64)
+        out[order] = np.r_[same, False] | np.r_[False, same]
+        return out
 
-    return run
 
+class _Later(X.Facts):
+    """Second exchange, of whole hashes: 1 for windows that an earlier document of another chunk holds.
 
-@gives_back
-def _shared(key, messages):
-    """For each chunk of a bucket: which of its short hashes another chunk sent too."""
-    hashes, bounds = X.received(messages)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    flags = np.zeros(len(hashes), bool)
-    flags[order] = np.r_[same, False] | np.r_[False, same]
-    return _replies(key, messages, bounds, flags, 1)
+    With each goes its other hash and the first document of the chunk that holds it:
+    whether that lacks an id, the id, and the tie. Each document is packed once.
+    """
 
+    FIELDS = ("others", "n_docs", "none", "ids", "ties", "ranks")
 
-def _replies(key, messages, bounds, flags, turn):
-    out = []
-    for k, chunk in enumerate(messages["chunk"].to_pylist()):
-        mine = flags[bounds[k] : bounds[k + 1]]
-        if mine.any():
-            out.append((chunk, turn, key[0].as_py(), len(mine), X.squeeze_bits(mine)))
-    return X.table(out, **_MARKS)
+    def pack(self, arrays):
+        other, *doc = arrays
+        order = np.lexsort(doc[::-1])
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in doc], axis=0)
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.cumsum(fresh) - 1
+        held = [x[order][fresh] for x in doc]
+        return (X.squeeze(other), int(fresh.sum()).to_bytes(8, "little"), *map(X.squeeze, held), X.squeeze(rank))
+
+    def unpack(self, row):
+        n = int.from_bytes(row["n_docs"], "little")
+        rank = X.unsqueeze(row["ranks"], row["n"]).astype(np.int64)
+        return [X.unsqueeze(row["others"], row["n"]), *(X.unsqueeze(row[c], n)[rank] for c in ("none", "ids", "ties"))]
+
+    def judge(self, hashes, arrays):
+        other, *doc = arrays[0], *(x.view(np.int64) for x in arrays[1:])
+        order = np.lexsort((*doc[::-1], other, hashes))
+        a, b, doc = hashes[order], other[order], [x[order] for x in doc]
+        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(a) else order
+        out = np.zeros(len(a), np.uint64)
+        out[order] = np.any([x != x[least] for x in doc], axis=0)
+        return out
+
+
+def _send(size: int, facts: _Shared):
+    @gives_back
+    def run(key, table):
+        values, _ = _Windows(table, size, 1).short(facts.p)
+        return facts.messages(key[0].as_py(), values, [])
 
+    return run
 
-def _ask(size: int, p: X.Plan):
-    """Second exchange: whole hashes of the suspects, with the first document that holds each."""
 
+def _ask(size: int, facts: _Later):
     @gives_back
     def run(table, marks):
-        out = []
-        if len(table):
-            w, chunk = _Windows(table, size, 2), table[X.CHUNK][0].as_py()
-            found = w.suspects(p, marks)
-            doc = np.repeat(np.arange(len(w.n)), w.n)[w.first[found]]
-            ids, ties = w.rows["doc_id"], w.rows[X.TIE].to_numpy()
-            none, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
-            a, b = (h[found] for h in w.hashes)
-            bounds = X.cells(a, p.buckets)
-            for bucket in np.flatnonzero(np.diff(bounds)):
-                at = slice(bounds[bucket], bounds[bucket + 1])
-                held, rank = np.unique(doc[at], return_inverse=True)
-                out.append((int(bucket), chunk, len(rank), X.squeeze_sorted(a[at] - X.base(bucket, p.buckets)), X.squeeze(b[at]), len(held), X.squeeze(none[held].astype(np.uint64)), X.squeeze(ids[held].astype(np.int64).view(np.uint64)), X.squeeze(ties[held].view(np.uint64)), X.squeeze(rank)))
-        b = pa.binary()
-        return X.table(out, bucket=pa.int32(), chunk=pa.int32(), n=pa.int32(), hashes=b, others=b, n_docs=pa.int32(), none=b, ids=b, ties=b, ranks=b)
+        if not len(table):
+            return facts.messages(0, np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * 4)
+        w = _Windows(table, size, 2)
+        found = w.suspects(facts.p, marks.to_pylist())
+        doc = np.repeat(np.arange(len(w.n)), w.n)[w.first[found]]
+        ids, ties = w.rows["doc_id"], w.rows[X.TIE].to_numpy()
+        none, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+        own = [none.astype(np.uint64), ids.astype(np.int64).view(np.uint64), ties.view(np.uint64)]
+        return facts.messages(table[X.CHUNK][0].as_py(), w.hashes[0][found], [w.hashes[1][found], *(x[doc] for x in own)])
 
     return run
 
 
-@gives_back
-def _later(key, messages):
-    """For each chunk of a bucket: which of its windows occur in an earlier document of another chunk."""
-    a, bounds = X.received(messages)
-    rows = messages.select(["n", "others", "n_docs", "none", "ids", "ties", "ranks"]).to_pylist()
-    b = np.concatenate([X.unsqueeze(r["others"], r["n"]) for r in rows])
-    doc = [np.concatenate(x) for x in zip(*[_documents(r) for r in rows], strict=True)]
-    order = np.lexsort((doc[2], doc[1], doc[0], b, a))
-    a, b, doc = a[order], b[order], [x[order] for x in doc]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-    least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(a) else order
-    flags = np.zeros(len(a), bool)
-    flags[order] = np.any([x != x[least] for x in doc], axis=0)
-    return _replies(key, messages, bounds, flags, 2)
-
-
-def _documents(r) -> list[np.ndarray]:
-    """Whether each window's document lacks an id, its id, and its tie: the order of documents."""
-    rank = X.unsqueeze(r["ranks"], r["n"]).astype(np.int64)
-    return [X.unsqueeze(r[c], r["n_docs"]).view(np.int64)[rank] for c in ("none", "ids", "ties")]
-
-
 def _cut(size: int, p: X.Plan):
     @gives_back
     def run(docs, marks):
         w = _Windows(docs, size, 2)
-        found = w.suspects(p, marks)
+        found = w.suspects(p, _of(marks, 1))
         later = np.zeros(len(w.first), bool)
-        later[found] = _marked(marks, 2, X.cells(w.hashes[0][found], p.buckets))
+        later[found] = X.told(_of(marks, 2), X.cells(w.hashes[0][found], p.buckets))
         removed = later[w.place] | (w.first[w.place] != np.arange(len(w.place)))
         edge = np.zeros(int(w.n_words.sum()) + 1, np.int64)
         edge += np.bincount(w.starts[removed], minlength=len(edge))
@@ -193,10 +180,10 @@ def drop_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     p = X.plan(docs, text, chunk_bytes)
     part = X.dealt(docs, p.chunks, id_col, text)
     by_chunk = lambda: part.groupBy(X.CHUNK)
-    sent = by_chunk().applyInArrow(_send(size, p), "bucket int, chunk int, n int, hashes binary")
-    marks = sent.groupBy("bucket").applyInArrow(_shared, _MARKS_DDL)
-    asked = by_chunk().cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_ask(size, p), "bucket int, chunk int, n int, hashes binary, others binary, n_docs int, none binary, ids binary, ties binary, ranks binary")
-    marks = marks.unionByName(asked.groupBy("bucket").applyInArrow(_later, _MARKS_DDL))
+    shared, later = _Shared(p, p.bits), _Later(p)
+    marks = shared.answered(by_chunk().applyInArrow(_send(size, shared), shared.ddl))
+    asked = by_chunk().cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_ask(size, later), later.ddl)
+    marks = marks.withColumn("round", F.lit(1)).unionByName(later.answered(asked).withColumn("round", F.lit(2)))
     numbers = [T.StructField(c, T.LongType()) for c in ("__lm_words", "__lm_removed")]
     schema = T.StructType([T.StructField("doc_id", part.schema["doc_id"].dataType), T.StructField("text", T.StringType()), part.schema[X.REST], *numbers])
     cut = by_chunk().cogroup(marks.groupBy(X.CHUNK)).applyInArrow(_cut(size, p), schema)

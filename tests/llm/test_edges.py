@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from landmesh.llm import cotraining, jaccard, mixing, outliers, packing, substrings, tokens, topk, warc
+from landmesh.llm import cotraining, exchange, jaccard, mixing, outliers, packing, substrings, tokens, topk, warc
 from landmesh.llm.sharding import ShardedTable, arrive
 from landmesh.llm.store import new_path
 
@@ -226,6 +226,21 @@ def test_substrings_random(spark):
     assert cut_of(substrings.drop_repeats(df, 8, chunk_bytes=500).collect()) == naive_cut(rows, 8)
 
 
+@pytest.mark.parametrize("fan, group", [(8, 5), (64, 3)])
+def test_exchange_in_two_steps(spark, monkeypatch, fan, group):
+    """Buckets split in parts, their messages merged by groups of chunks: the same results."""
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(exchange, "GROUP", group)
+    monkeypatch.setattr(exchange, "BUCKET_WINDOWS", 8)
+    rows = [(i, words(random.Random(i).randint(0, 60), i % 40), "en", "a", 1) for i in range(120)]
+    rows += [(200 + i, words(30, 77) + " " + words(20, i) + " " + words(30, 78), "en", "a", 1) for i in range(30)] + [(None, words(40, i % 45), "en", "a", 1) for i in range(30)]
+    df = docs_of(spark, rows).repartition(5)
+    assert exchange.plan(df, chunk_bytes=500).parts > 1
+    assert cut_of(substrings.drop_repeats(df, 8, chunk_bytes=500).collect()) == naive_cut(rows, 8)
+    known = [x for x in rows if x[0] is not None]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs_of(spark, known)).collect()} == naive_components(known)
+
+
 def test_substrings_keep_all_other_text(spark):
     assert substrings.without("a\n\nb  c d\te", np.array([0, 1, 1, 0, 0], bool)) == "a d\te"
     assert substrings.without(" a b\nc", np.array([1, 1, 0], bool)) == "c"
