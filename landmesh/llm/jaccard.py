@@ -203,7 +203,6 @@ def _met(num: int, den: int):
         at = table["at"].combine_chunks()
         at = at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at
         token, row = at.flatten().to_numpy(), np.repeat(np.arange(len(ids)), pc.list_value_length(at).to_numpy())
-        mine, other = table["mine"].to_numpy(), table["other"].to_numpy()
         order = np.lexsort((row, token))
         seen, a, b = set(), [], []
         for rows in np.split(row[order], np.flatnonzero(np.diff(token[order])) + 1):
@@ -213,7 +212,7 @@ def _met(num: int, den: int):
             for i, j in tree.pairs(comp[rows]):
                 for x, y in zip(rows[i].tolist(), rows[j].tolist(), strict=True):
                     pair = (min(x, y), max(x, y))
-                    if pair in seen or (mine[x] == mine[y] and mine[x] != other[x]):
+                    if pair in seen:
                         continue
                     seen.add(pair)
                     if (num + den) * _overlap(fine[x], fine[y]) >= num * (n[x] + n[y]):
@@ -284,15 +283,22 @@ def join(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str
     at = F.explode(F.slice("shared", 1, F.col("prefix"))).alias("token")
     known = reps.join(comp, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n", "prefix", "shared", F.coalesce("component", "doc_id").alias("comp"))
     posts = known.select("doc_id", "comp", at)
-    open_ = posts.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where(F.col("_lo") < F.col("_hi"))
-    open_ = open_.select(F.col("token").alias("_t"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    # Of a token's documents the largest component's needn't meet each other: blocks of the
+    # rest, often few, meet blocks of all.
+    held = posts.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("token")
+    open_ = held.agg(F.max_by("comp", F.struct("_n", "comp")).alias("major"), F.sum("_n").alias("_n"), F.max("_n").alias("_m")).where(F.col("_m") < F.col("_n"))
+    size_ = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = open_.select(F.col("token").alias("_t"), "major", size_(F.col("_n")).alias("blocks"), size_(F.col("_n") - F.col("_m")).alias("rest"))
     posts = posts.join(open_, F.col("token") == F.col("_t"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    posts = posts.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posts = posts.withColumn("mine", F.col("_m")).withColumn("_x", F.least("_m", "_o")).withColumn("_y", F.greatest("_m", "_o"))
+    b, j = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rest")).cast("int")
+    pair = lambda j, b: F.struct(j.alias("j"), b.alias("b"))
+    every = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda x: pair(x, b))
+    minor = F.when(F.col("comp") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: pair(j, x))).otherwise(F.array().cast("array<struct<j:int,b:int>>"))
+    at_ = F.explode(F.when(F.col("blocks") > 1, F.array_union(every, minor)).otherwise(F.array(pair(F.lit(0), F.lit(0)))))
+    posts = posts.select("doc_id", "token", "blocks", at_.alias("_p"))
     # A token of several blocks is a matter of its own; others share tasks.
-    task = F.when(F.col("blocks") > 1, F.xxhash64("token", "_x", "_y")).otherwise(F.pmod(F.xxhash64("token"), F.lit(parts)))
-    posts = posts.groupBy(task.alias("_task"), "doc_id", "mine", F.when(F.col("blocks") > 1, F.when(F.col("_x") == F.col("_y"), F.col("_m")).otherwise(F.lit(-1))).otherwise(F.col("_m")).alias("other")).agg(F.collect_list("token").alias("at"))
+    task = F.when(F.col("blocks") > 1, F.xxhash64("token", "_p.j", "_p.b")).otherwise(F.pmod(F.xxhash64("token"), F.lit(parts)))
+    posts = posts.groupBy(task.alias("_task"), "doc_id").agg(F.collect_list("token").alias("at"))
     fine = known.select(F.col("doc_id").alias("_d"), "n", "comp", _fine("shared").alias("fine"))
     posts = posts.join(fine, F.col("doc_id") == F.col("_d")).drop("_d")
     met = posts.groupBy("_task").applyInArrow(_met(num, den), "a bigint, b bigint")
