@@ -176,6 +176,9 @@ def _sample(docs: DataFrame, picked: DataFrame) -> pa.Table:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["good"], pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), N_TEXT).cast(pa.list_(pa.float32())), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), N_META).cast(pa.list_(pa.float32()))], names=["doc_id", "good", "t", "m"])
 
     rows = _views(docs).join(F.broadcast(picked), "doc_id")
+    # An id that stands in many rows is one document: its smallest row.
+    first = F.min(F.struct("text", "lang_cell", "source_cell", "n_chars", "good")).alias("x")
+    rows = rows.groupBy("doc_id").agg(first).select("doc_id", "x.*")
     table = rows.mapInArrow(run, "doc_id bigint, good int, t array<float>, m array<float>").toArrow()
     return table.sort_by([("doc_id", "ascending")])
 
