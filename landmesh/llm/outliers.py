@@ -16,8 +16,8 @@ KEY = ("level", *GROUP)
 CHI_75, FACTOR_75 = 6.62568, 1.41246
 CHI_975, FACTOR_975 = 12.83250, 1.08059
 #: The squared distance over which a document goes. Clean texts' statistics have heavier
-#: tails than a normal's, whose quantile of 0.975 in five dimensions is 12.8: on sf0.1 about
-#: 190 clean documents lie between the two. 60 is where a normal leaves one in 10 ** 11.
+#: tails than a normal's, whose quantile of 0.975 in five dimensions is 12.8: on sf0.1 some
+#: 220 documents lie between the two. 60 is where a normal leaves one in 10 ** 11.
 LIMIT = 60.0
 #: Standard deviations that measure nothing are not taken to be smaller than these.
 FLOORS = (0.25, 0.05, 0.02, 0.1, 0.1)

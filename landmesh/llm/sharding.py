@@ -7,6 +7,7 @@ import math
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,20 @@ class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+@contextmanager
+def _read_by_bytes(spark: SparkSession, parts: int, size: int) -> Iterator[None]:
+    """Scans planned inside deal their files to about ``parts`` tasks of up to ``size`` bytes, whatever the number of files."""
+    keys = {"spark.sql.files.minPartitionNum": str(parts), "spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class ShardedTable:
     """Append-only table at ``root`` on any file system that Hadoop reaches.
 
@@ -175,7 +190,9 @@ class ShardedTable:
         now = self.manifest()
         while merge := self.due(now):
             size, gone = sum(r.size for r in merge), {r.name for r in merge}
-            run = self._write(self._read(merge).coalesce(max(1, round(size / self.target))), sum(r.rows for r in merge))
+            files = max(1, round(size / self.target))
+            with _read_by_bytes(self.spark, files, self.target):
+                run = self._write(self._read(merge).coalesce(files), sum(r.rows for r in merge))
             self._publish(lambda m, gone=gone, run=run: (*(r for r in m.runs if r.name not in gone), run) if gone <= {r.name for r in m.runs} else None, run)
             now = self.manifest()
         return now

@@ -694,6 +694,19 @@ def test_sharded_table_without_rows(nothing, spark):
         ShardedTable(spark, new_path(spark, "table")).read()
 
 
+def test_merged_shards_are_near_the_target(spark):
+    big = spark.range(60_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text")
+    t = ShardedTable(spark, new_path(spark, "table"), target_bytes=1 << 20, base_bytes=1 << 30, fanout=3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k, share in enumerate((1, 2, 7)):
+        t.append(big.where(f"doc_id % 10 < {share}").repartition(1 + 9 * k))
+    t.compact()
+    (run,) = t.manifest().runs
+    sizes = [x.getLen() for x in t.fs.listStatus(t._path("runs", run.name)) if x.getPath().getName().startswith("part-")]
+    assert run.rows == 60_000 and len(sizes) == run.files >= 4 and max(sizes) < 2 * (1 << 20)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_sharded_writers_meet(spark, monkeypatch):
     """A commit that comes second looks again; a merge whose runs are gone leaves no run behind."""
     t = ShardedTable(spark, new_path(spark, "table"), base_bytes=1, fanout=100)
