@@ -245,6 +245,17 @@ def extraction(spark, d):
     return X.cells(spark, d).groupBy("sid").agg(F.round(bad, 6).alias("frac_unusable"), F.count("elevation").alias("n_elevation"), F.max("road_class").alias("top_road"), (bad <= 0.9).alias("accept"))
 
 
+@query("M-09_parallel_extraction", f"WITH {X.CELLS} SELECT sid, count(*) AS pixels, count(elevation) AS n_elevation, round(avg(CAST(landcover IN (0, 70, 80) AS DOUBLE)), 6) AS frac_unusable FROM cells GROUP BY sid")
+def parallel_extraction(spark, d):
+    """One task a raster, as many at once as there are cores: the tile's counts by array code."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad = np.isin(pdf.landcover.to_numpy(), [0, 70, 80])
+        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "pixels": [len(pdf)], "n_elevation": [int(pdf.elevation.notna().sum())], "frac_unusable": [round(float(bad.mean()), 6)]})
+
+    return X.cells(spark, d).select("sid", "landcover", "elevation").groupBy("sid").applyInPandas(run, "sid bigint, pixels bigint, n_elevation bigint, frac_unusable double")
+
+
 @query("V-02_metadata", "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0 AS ok FROM events")
 def metadata(spark, d):
     k = F.from_json("props", "k bigint")["k"]
