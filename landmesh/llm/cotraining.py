@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +32,11 @@ def text_view(column: pa.Array) -> np.ndarray:
         part, e = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
         n = hi - lo
         size = np.diff(e)
-        for a in range(0, len(part), 1 << 20):
-            piece = part[a : a + (1 << 20)]
-            doc = np.searchsorted(e, np.arange(a, a + len(piece)), "right") - 1 if n > 1 else np.zeros(len(piece), np.int64)
-            out[lo:hi, :256] += np.bincount(doc * 256 + piece, minlength=n * 256).reshape(n, 256)
+        if n == 1:
+            for a in range(0, len(part), 1 << 20):
+                out[lo, :256] += np.bincount(part[a : a + (1 << 20)], minlength=256)
+        else:
+            out[lo:hi, :256] = np.bincount(np.repeat(np.arange(n) * 256, size) + part, minlength=n * 256).reshape(n, 256)
         out[lo:hi, :256] = np.sqrt(out[lo:hi, :256] / np.maximum(size, 1)[:, None])
         (words,), count = word_hashes(part, e)
         doc = np.repeat(np.arange(n), count)
@@ -42,10 +44,11 @@ def text_view(column: pa.Array) -> np.ndarray:
         hist = np.bincount(doc * WORD_CELLS + cell, minlength=n * WORD_CELLS).reshape(n, WORD_CELLS)
         many = np.maximum(count, 1)
         out[lo:hi, 256 : 256 + WORD_CELLS] = np.sqrt(hist / many[:, None])
-        order = np.lexsort((words, doc))
-        w, d = words[order], doc[order]
-        fresh = np.r_[True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])] if len(w) else np.zeros(0, bool)
-        distinct = np.bincount(d[fresh], minlength=n)
+        # One sorted key for each word: its document, then what is left of the hash.
+        bits = np.uint64(max(1, n.bit_length()))
+        key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (words >> bits))
+        fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        distinct = np.bincount((key[fresh] >> (np.uint64(64) - bits)).astype(np.int64), minlength=n)
         out[lo:hi, -3] = np.log1p(count)
         out[lo:hi, -2] = np.log(np.maximum(distinct, 1) / many)
         out[lo:hi, -1] = np.log1p(size / many)
@@ -281,13 +284,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds)
     if model is None:
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    views = _views(docs.select("doc_id", "text", "lang", "source", "n_chars", row.alias("row")), "row")
+    # The text travels once, inside its row.
+    views = _views(docs.select("doc_id", "text", "lang", "source", "n_chars", row.alias("row")), "row").drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                score = np.round(model.scores(text_view(part["text"]), meta_view(part))[2], 9)
+                score = np.round(model.scores(text_view(pc.struct_field(part["row"], "text")), meta_view(part))[2], 9)
                 yield part.select(["row"]).filter(pa.array(score >= least))
 
     return views.mapInArrow(run, T.StructType([views.schema["row"]])).select("row.*")
