@@ -27,7 +27,7 @@ class _Windows:
         self.rows = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), (X.TIE, "ascending")]))
         words, self.n_words = word_hashes(*buffers(self.rows["text"]), ways=ways)
         hashes, self.starts, self.n = window_hashes(words, self.n_words, size)
-        order = np.argsort(hashes[0], kind="stable")
+        order = np.argsort(hashes[0])
         if ways > 1:
             h, g = (x[order] for x in hashes)
             if ((h[1:] == h[:-1]) & (g[1:] != g[:-1])).any():
@@ -35,7 +35,8 @@ class _Windows:
         fresh = np.ones(len(order), bool)
         if len(order):
             fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in hashes], axis=0)
-        self.first = order[fresh]
+        runs = np.flatnonzero(fresh)
+        self.first = np.minimum.reduceat(order, runs) if len(order) else order
         self.hashes = [x[self.first] for x in hashes]
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.cumsum(fresh) - 1
