@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .ranks import ranked
 from .store import materialize, new_path
 from .tokens import encoder
+from .words import give_back
 
+#: Documents that are cut into pieces at once.
+ROWS = 256
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -27,16 +30,19 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.encode(text.as_py()).astype("<u4"), np.uint32(end_id)).astype("<u4")
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for to, x in zip(out, (doc, k, a, b - a, ids[a:b].tobytes()), strict=True):
-                        to.append(x)
-            for lo in range(0, len(out[0]), 4096):
-                part = [x[lo : lo + 4096] for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            for at in range(0, len(batch), ROWS):
+                rows = batch.slice(at, ROWS)
+                out: list[list] = [[], [], [], [], []]
+                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                    ids = np.append(enc.encode(text.as_py()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    edges = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                        for to, x in zip(out, (doc, k, a, b - a, ids[a:b].tobytes()), strict=True):
+                            to.append(x)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            batch = rows = out = None
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

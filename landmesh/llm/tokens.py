@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 #: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> str:
