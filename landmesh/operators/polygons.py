@@ -27,8 +27,9 @@ def resampled(cells: DataFrame, value: str, size: int, to: int, nearest: bool =
     """A square raster of ``size`` cells read at the centres of ``to`` cells of the same extent.
 
     Each target cell asks for the one cell that holds its centre, or for the four around
-    it with bilinear weights (border cells stand in for those outside); one equi-join
-    by raster, row and column. Missing cells drop out of the weights.
+    it with bilinear weights (border cells stand in for those outside). Rows and columns
+    are asked for alone, in two tables as long as a raster's side, so the cells themselves
+    never meet a table of all rasters. Missing cells drop out of the weights.
     """
     def ways(c: str) -> Column:
         at = (F.col(c) + 0.5) * (size / to)
@@ -39,10 +40,12 @@ def resampled(cells: DataFrame, value: str, size: int, to: int, nearest: bool =
         share = at - 0.5 - low
         return F.array(F.struct(clip(low).alias("k"), (1 - share).alias("w")), F.struct(clip(low + 1).alias("k"), share.alias("w")))
 
-    target = cells.select("sid").distinct().withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(to - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
-    target = target.withColumn("a", F.explode(ways("tr"))).withColumn("b", F.explode(ways("tc")))
-    asked = target.select("sid", "tr", "tc", F.col("a.k").cast("bigint").alias("r"), F.col("b.k").cast("bigint").alias("c"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    met = asked.join(cells.select("sid", "r", "c", F.col(value).alias("_v")), ["sid", "r", "c"]).where(F.col("_v").isNotNull())
+    def asked(target: str, of: str) -> DataFrame:
+        each = cells.sparkSession.range(to).select(F.col("id").cast("int").alias(target)).withColumn("a", F.explode(ways(target)))
+        return F.broadcast(each.select(target, F.col("a.k").cast("bigint").alias(of), F.col("a.w").alias(f"_{of}")))
+
+    own = cells.where(F.col("sid").isNotNull() & F.col(value).isNotNull()).select("sid", "r", "c", F.col(value).alias("_v"))
+    met = own.join(asked("tr", "r"), "r").join(asked("tc", "c"), "c").withColumn("w", F.col("_r") * F.col("_c"))
     return met.groupBy("sid", "tr", "tc").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(value))
 
 
