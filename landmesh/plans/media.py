@@ -13,6 +13,7 @@ from ..sources import config as Y
 from ..sources import fixtures as X
 from ..sources import images as M
 from .geo import _keys, _keys_sql
+from .network import signed_round
 from .numeric import _POLY, polygons
 from .registry import query
 from .surfaces import SURFACE, surface
@@ -110,5 +111,5 @@ def chunked_arrays(spark, d):
 @query("SNK-19_column_order", f"WITH {X.GRIDS} SELECT sid, list(round(v, 6) ORDER BY c, r) AS a FROM grids GROUP BY sid")
 def column_order(spark, d):
     """Rasters as arrays in column-major order, as solvers in other languages take them."""
-    items = F.array_sort(F.collect_list(F.struct("c", "r", F.round("v", 6).alias("v"))))
+    items = F.array_sort(F.collect_list(F.struct("c", "r", signed_round(F.col("v")).alias("v"))))
     return X.grids(spark, d).groupBy("sid").agg(items.alias("a")).select("sid", F.col("a.v").alias("a"))

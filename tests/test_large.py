@@ -83,7 +83,7 @@ def test_small_rasters_share_a_task_and_large_ones_do_not(spark):
     assert "FlatMapGroupsInPandas [_small" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["LD-05_upper_triangle"])
+@pytest.mark.parametrize("name", ["LD-05_upper_triangle", "SNK-19_column_order"])
 def test_arrays_keep_the_sign_of_zero(spark, tmp_path, name):
     """A negative value that rounds to zero is -0.0 for DuckDB; one in a million values is."""
     con = duckdb.connect()
